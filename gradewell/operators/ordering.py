@@ -17,6 +17,7 @@ from gradewell.session import settle
 
 HASH_DIGITS = 3
 BOUNDS = 255
+WHOLE = "_whole"
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -38,6 +39,13 @@ def hash_ranked(df: DataFrame, strata: Sequence[str], key: str, seed: int, digit
     )
 
 
+def _with_strata(df: DataFrame, targets: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Without strata the whole table is one."""
+    if strata:
+        return df, targets, list(strata)
+    return df.withColumn(WHOLE, F.lit(0)), targets.withColumn(WHOLE, F.lit(0)), [WHOLE]
+
+
 def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets: DataFrame,
               digits: int = HASH_DIGITS) -> DataFrame:
     """The (hash, key) found at given ranks of the hash order, one array of cuts per stratum.
@@ -46,7 +54,7 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
     ``upto``, the last rank that belongs to the block. Only the rows of the bucket in which a rank
     falls are ordered.
     """
-    strata = list(strata)
+    df, targets, strata = _with_strata(df, targets, strata)
     slim = df.select(*strata, key, hash_order(seed, key).alias("_hash"))
     slim = slim.withColumn("_bucket", F.substring("_hash", 1, digits))
     sizes = settle(slim.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
@@ -79,12 +87,15 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
 def assign_blocks(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets: DataFrame,
                   column: str = "block", digits: int = HASH_DIGITS) -> DataFrame:
     """Add the number of the block between cuts a row falls in; the wide rows are never shuffled."""
-    strata = list(strata)
-    cuts = hash_cuts(df, strata, key, seed, targets, digits)
+    df, targets, strata = _with_strata(df, targets, strata)
+    return apply_cuts(df, strata, key, seed, hash_cuts(df, strata, key, seed, targets, digits), column)
+
+
+def apply_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, cuts: DataFrame, column: str) -> DataFrame:
+    """Number of cuts passed by each row, given the arrays of :func:`hash_cuts`."""
     here = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
     passed = F.filter("_cuts", lambda c: F.struct(c["h"], c["k"]) < here)
-    joined = df.join(cuts, strata) if strata else df.crossJoin(cuts)
-    return joined.withColumn(column, F.size(passed)).drop("_cuts")
+    return df.join(cuts, list(strata)).withColumn(column, F.size(passed)).drop("_cuts", WHOLE)
 
 
 def bucket_of(bounds: Column, value: Column) -> Column:
