@@ -19,12 +19,13 @@ def finite(value: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Value within [low, high]; NULL stays NULL although least and greatest skip it."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def ratio_floor_one(n: Column, d: Column) -> Column:
-    """n / max(d, 1)."""
-    return n / F.greatest(d, F.lit(1.0))
+    """n / max(d, 1); NULL when either side is missing."""
+    return F.when(d.isNotNull(), n / F.greatest(d, F.lit(1.0)))
 
 
 def ratio_abs_floor_one(n: Column, d: Column) -> Column:

@@ -129,3 +129,20 @@ def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, measures:
         *by, value, *measures,
         *[(F.col(f"_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_below") for m in measures],
     )
+
+
+def global_rank(df: DataFrame, order: str) -> DataFrame:
+    """Add ``rank``: the 1-based position in the order of one column over the whole table.
+
+    Rows are range-partitioned by the column and checkpointed, so that both passes (rows per partition,
+    then positions inside a partition) see the same partitions.
+    """
+    from gradewell.session import materialize
+
+    placed = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    before = Window.partitionBy().orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = Window.partitionBy("_part").orderBy(order)
+    return placed.join(offsets, "_part").withColumn(
+        "rank", F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")

@@ -374,7 +374,8 @@ def distribution_shape(df: DataFrame, features: Sequence[str], bins: int = 16) -
             continue
         if lo == hi:  # one value: the usual histogram widens the range by one half on both sides
             lo, hi = lo - 0.5, hi + 0.5
-        position = F.least(F.floor((F.col(f) - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        place = F.floor((F.col(f) - lo) / (hi - lo) * bins)
+        position = F.when(place.isNotNull(), F.least(place, F.lit(bins - 1)))  # least() alone skips NULL
         cells.append(F.struct(F.lit(f).alias("feature"), position.alias("bin")))
     histogram = (df.select(F.inline(F.array(*cells))).filter("bin is not null")
                  .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("m")))

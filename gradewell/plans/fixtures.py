@@ -10,6 +10,37 @@ from pyspark.sql import functions as F
 FEATURES = ["n_lines", "qty_sum", "qty_max", "qty_dup", "price_max", "tax_max", "total",
             "const_one", "near_const", "disc_max"]
 
+# Measurement columns derived from the key of a feature row, beside those taken from its measures.
+MEASURES = [
+    "exudate_count", "hard_exudate_count", "soft_exudate_count", "hemorrhage_count", "cotton_wool_count",
+    "exudate_area", "hard_exudate_area", "soft_exudate_area", "cotton_wool_area", "combined_lesion_area", "fov_area",
+    "ma_density", "ma_density_per_retinal_area", "exudate_density", "hard_exudate_coverage_pct", "hemorrhage_density",
+    "soft_exudate_coverage_pct", "vessel_density", "vessel_area_ratio", "vessel_length", "vessel_skeleton_length",
+    "vessel_complexity_score", "vessel_fragmentation_index", "vessel_tortuosity_mean", "vessel_tortuosity_std",
+    "vessel_curvature_mean", "vessel_branchpoint_count", "vessel_branching_count", "vessel_average_width",
+    "glcm_contrast", "glcm_homogeneity", "glcm_energy", "glcm_entropy", "glcm_correlation",
+    "glcm_contrast_0", "glcm_contrast_45", "glcm_contrast_90", "glcm_contrast_135",
+    "glcm_energy_0", "glcm_energy_45", "glcm_energy_90", "glcm_energy_135",
+    "lbp_entropy", "lbp_uniform_ratio", "lbp_std", "lbp_mean",
+    "hard_exudate_distance_to_macula_mean", "soft_exudate_distance_to_macula_mean",
+    "hard_exudate_distance_to_optic_disc_mean", "soft_exudate_distance_to_optic_disc_mean",
+    "ma_superior_count", "ma_inferior_count", "ma_nasal_count", "ma_temporal_count",
+    "hemorrhage_retina_affected_pct", "quality_contrast", "quality_brightness", "quality_blur_score",
+]
+
+
+def measure_sql(position: int, name: str) -> str:
+    """Whole numbers below 40 for counts, tenths below 97 for the rest; a thirteenth of the densities is missing."""
+    if name.endswith("_count"):
+        return f"cast(mod(mod(row_id * {position + 3}, 41), {position % 5 + 3}) as double) as {name}"
+    value = f"cast(mod(row_id * {position + 3} + {position}, 97) as double) / cast(10 as double)"
+    if name.endswith("density"):
+        return f"case when mod(row_id, 13) = 0 then null else {value} end as {name}"
+    return f"{value} as {name}"
+
+
+MEASURE_SELECT = ", ".join(measure_sql(i, n) for i, n in enumerate(MEASURES))
+
 # Symbols whose frequencies are compared pairwise to form a 63-bit difference fingerprint.
 FINGERPRINT_SYMBOLS = "abcdefghijklmnopqrstuvwxyz .,;:!?-'\"()0123456789ABCDEFGHIJKLMNOPQ"[:64]
 
@@ -49,6 +80,13 @@ class Fixtures:
             F.when(key % 13 == 0, None).otherwise(F.col("disc")).alias("disc_max"),
         )
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        """Feature rows with named measurement columns."""
+        return self.feats.selectExpr(
+            "row_id", "label", "n_lines as ma_count", "qty_sum as ma_area", "price_max as hemorrhage_area",
+            *[measure_sql(i, n) for i, n in enumerate(MEASURES)])
+
     @cached_property
     def preds(self) -> DataFrame:
         models = F.array(
@@ -178,6 +216,8 @@ select o.o_orderkey as row_id, cast(substr(o.o_orderpriority,1,1) as int)-1 as l
   case when mod(o.o_orderkey,13)=0 then null else max(l.l_discount) end as disc_max
 from orders o join lineitem l on l.l_orderkey=o.o_orderkey
 group by o.o_orderkey, o.o_orderpriority, o.o_orderstatus""",
+    "measures": f"""
+select row_id, label, n_lines as ma_count, qty_sum as ma_area, price_max as hemorrhage_area, {MEASURE_SELECT} from feats""",
     "preds": """
 select row_id, model, source, y_true, y_pred,
   cast(1+mod(row_id,3)+case when y_pred=0 then 5 else 0 end as double) as w0,
@@ -216,7 +256,7 @@ from events where event_type='purchase'""",
 select l_orderkey as image_id, l_returnflag as kind, l_quantity as x, cast(l_linenumber as double)*7 as y, l_extendedprice as area
 from lineitem""",
 }
-_NEEDS = {"predictions": ["preds"]}
+_NEEDS = {"predictions": ["preds"], "measures": ["feats"]}
 
 
 def oracle(views: str, body: str) -> str:
@@ -226,7 +266,7 @@ def oracle(views: str, body: str) -> str:
         for needed in [*_NEEDS.get(name, []), name]:
             if needed not in names:
                 names.append(needed)
-    ctes = [f"{name} as ({VIEWS[name]})" for name in names]
+    ctes = [f"{name} as materialized ({VIEWS[name]})" for name in names]
     body = body.strip()
     if body.lower().startswith("with "):
         body = body[5:]

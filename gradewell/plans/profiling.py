@@ -16,14 +16,15 @@ from gradewell.plans.tools import tidy
 query = CATALOG.query
 
 
-def seven(c: Column) -> Column:
-    """Round to eight significant digits, for values of any magnitude."""
+def seven(c: Column, digits: int = 7) -> Column:
+    """Round to ``digits`` places after the first digit, for values of any magnitude."""
     scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))).cast("double"))
-    return F.when(c == 0, 0.0).otherwise(F.round(c / scale, 7) * scale)
+    return F.when(c == 0, 0.0).otherwise(F.round(c / scale, digits) * scale)
 
 
-def seven_sql(c: str) -> str:
-    return f"case when ({c})=0 then 0 else round(({c})/pow(10.0::double,floor(log10(abs({c})))),7)*pow(10.0::double,floor(log10(abs({c})))) end"
+def seven_sql(c: str, digits: int = 7) -> str:
+    return (f"case when ({c})=0 then 0 else round(({c})/pow(10.0::double,floor(log10(abs({c})))),{digits})"
+            f"*pow(10.0::double,floor(log10(abs({c})))) end")
 
 
 def long_sql(columns=FEATURES, source: str = "feats") -> str:
@@ -263,14 +264,15 @@ s as (select feature, case when any_value(sd)<=1e-8 then 0 else avg(pow((v-mu)/s
   case when any_value(sd)<=1e-8 then 0 else avg(pow((v-mu)/sd,4))-3 end as kurtosis from b group by feature)
 select feature, round(entropy,6) as entropy, round(entropy/4,6) as normalized_entropy, round(skewness,6) as skewness, round(kurtosis,5) as kurtosis from h join s using (feature)""")
 def distribution_shape(fx):
-    return tidy(P.distribution_shape(fx.feats, FEATURES)).withColumn("kurtosis", F.round("kurtosis", 5))
+    shape = P.distribution_shape(fx.feats, FEATURES)
+    return shape.select("feature", *[F.round(c, 5 if c == "kurtosis" else 6).alias(c) for c in shape.columns[1:]])
 
 
 SIDES = [("superior", "y<24.5"), ("inferior", "y>=24.5"), ("nasal", "x>=25"), ("temporal", "x<25")]
 QUADS = [("x<25 and y<24.5"), ("x>=25 and y<24.5"), ("x<25 and y>=24.5"), ("x>=25 and y>=24.5")]
 
 
-@query("e19_region_statistics", "regions", "with r as (select image_id, kind, count(*) as n, round(sum(area),2) as area, round(avg(area),4) as mean_area, "
+@query("e19_region_statistics", "regions", "with r as (select image_id, kind, count(*) as n, round(sum(area),2) as area, round(avg(area),7) as mean_area, "
        "max(area) as max_area, round(avg(sqrt(pow(x-30,2)+pow(y-21,2))),6) as distance_mean, round(min(sqrt(pow(x-30,2)+pow(y-21,2))),6) as distance_min, "
        + ", ".join(f"sum(({c})::int)::bigint as n_{s}" for s, c in SIDES) + ", round(sum(area)/2450.0::double,6) as density, ("
        + "+".join(f"(sum(case when {c} then area else 0 end)>=30000)::int" for c in QUADS) + ")::int as occupied_quadrants from regions group by image_id, kind) "
@@ -278,7 +280,8 @@ QUADS = [("x<25 and y<24.5"), ("x>=25 and y<24.5"), ("x<25 and y>=24.5"), ("x>=2
            f"case when n_{s}>0 then -(n_{s}::double/(2*n))*log2(n_{s}::double/(2*n)) else 0 end" for s, _ in SIDES) + ")/2,6) as sector_entropy from r")
 def region_statistics(fx):
     stats = P.region_statistics(fx.regions, "image_id", "kind", (30.0, 21.0), (25.0, 24.5), 2450.0, 30000.0)
-    return tidy(stats).withColumns({"area": F.round("area", 2), "mean_area": F.round("mean_area", 4)})
+    digits = {"area": 2, "mean_area": 7, "distance_mean": 6, "distance_min": 6, "density": 6, "sector_entropy": 6}
+    return stats.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 @query("e20_grid_occupancy", "regions", "select image_id, " + ", ".join(
