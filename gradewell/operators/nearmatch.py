@@ -19,6 +19,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.session import materialize
+
 HOT_KEY = 4096
 MAX_FLIPS = 5000
 
@@ -50,7 +52,8 @@ def near_pairs(df: DataFrame, by: Sequence[str], fingerprint: str, k: int = 2, b
     """(by, fp_a, fp_b, distance, n_a, n_b) for distinct fingerprints fp_a < fp_b of one group."""
     by = list(by)
     masks = key_masks(bits, k, blocks)
-    counted = df.groupBy(*by, F.col(fingerprint).alias("fp")).agg(F.count(F.lit(1)).alias("n"))
+    # Read three times below: written once, so that fingerprints are not computed again from their source.
+    counted = materialize(df.groupBy(*by, F.col(fingerprint).alias("fp")).agg(F.count(F.lit(1)).alias("n")))
     keys = F.array(*[F.struct(F.lit(i).alias("key_no"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key"))
                      for i, m in enumerate(masks)])
     keyed = counted.select(*by, "fp", "n", F.inline(keys))

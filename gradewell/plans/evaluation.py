@@ -11,7 +11,9 @@ from gradewell.plans.registry import CATALOG
 from gradewell.plans.tools import doubles_sql, tidy, wide_ints
 
 query = CATALOG.query
-POSITIVE = F.col("y_true") >= K.POSITIVE_MIN_GRADE
+def positive():
+    return F.col("y_true") >= K.POSITIVE_MIN_GRADE
+
 LABELS = "lab as (select unnest([0,1,2,3,4]) as k)"
 
 # Long confusion table per model, zero-filled.
@@ -160,7 +162,7 @@ def one_vs_rest(fx):
 
 @query("h08_roc_auc", "preds", f"with {AUC} select model, n_pos, n_neg, round(auc,6) as auc from aucs")
 def roc_auc(fx):
-    return tidy(M.auc(fx.preds, ["model"], "score", POSITIVE))
+    return tidy(M.auc(fx.preds, ["model"], "score", positive()))
 
 
 @query("h09_macro_auc", "predictions", f"""with {LABELS},
@@ -190,7 +192,7 @@ select model, round(avg(pow(score-(y_true>=2)::int,2)),6) as brier_binary,
   round(avg(list_sum(list_transform(range(0,5), lambda k: pow(prob[k+1]-(y_true=k)::int,2)))),6) as brier_multiclass
 from predictions group by model""")
 def brier(fx):
-    return tidy(M.brier(fx.predictions, ["model"], "score", POSITIVE))
+    return tidy(M.brier(fx.predictions, ["model"], "score", positive()))
 
 
 SWEEP_COLUMNS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "negative_recall", "uncertain_below_060",
@@ -201,7 +203,7 @@ SWEEP_OUT = ", ".join(f'round("{c}",6) as "{c}"' for c in SWEEP_COLUMNS)
 @query("h12_threshold_sweep", "preds", f"""with {swept_sql(K.THRESHOLDS_STUDY)}, {AUC}
 select model, threshold, {SWEEP_OUT}, false_negatives, false_positives, round(auc,6) as auc from sweep join aucs using (model)""")
 def threshold_sweep(fx):
-    return tidy(M.threshold_sweep(fx.preds, ["model"], "score", POSITIVE, K.THRESHOLDS_STUDY))
+    return tidy(M.threshold_sweep(fx.preds, ["model"], "score", positive(), K.THRESHOLDS_STUDY))
 
 
 def rule_sql(rule: str, order: str) -> str:
@@ -232,7 +234,7 @@ RULES = {
        "round(balanced_accuracy,6) as balanced_accuracy, false_negatives, false_positives from ("
        + " union all ".join(rule_sql(rule, order) for rule, order in RULES.items()) + ")")
 def operating_points(fx):
-    sweep = M.threshold_sweep(fx.preds, ["model"], "score", POSITIVE, K.THRESHOLDS_EXPANDED, with_auc=False)
+    sweep = M.threshold_sweep(fx.preds, ["model"], "score", positive(), K.THRESHOLDS_EXPANDED, with_auc=False)
     chosen = L.operating_points(sweep, ["model"])
     return tidy(chosen.select("model", "rule", "threshold", "recall", "f1", "balanced_accuracy",
                               "false_negatives", "false_positives"))
@@ -285,7 +287,7 @@ from summary join b using (model)""")
 def selection_scores(fx):
     grading = M.evaluate(fx.preds, ["model"]).select("model", L.grading_score().alias("grading_score"))
     binary = M.binary_from_grades(fx.preds, ["model"])
-    positives = fx.preds.groupBy("model").agg(F.count_if(POSITIVE).alias("n_pos"))
+    positives = fx.preds.groupBy("model").agg(F.count_if(positive()).alias("n_pos"))
     scored = binary.join(positives, "model").select("model", L.binary_score(F.col("n_pos")).alias("binary_score"))
     return tidy(grading.join(scored, "model"))
 
@@ -306,7 +308,7 @@ select model, threshold, (recall>=0.9646 and false_negatives<=56 and false_posit
   (recall>=0.9373 and false_negatives<=88) as beats_production, (recall>=0.9665 and false_negatives<=53 and false_positives<900) as report_gate
 from sweep""")
 def screening_gates(fx):
-    sweep = M.threshold_sweep(fx.preds, ["model"], "score", POSITIVE, K.THRESHOLDS_EXPANDED, with_auc=False)
+    sweep = M.threshold_sweep(fx.preds, ["model"], "score", positive(), K.THRESHOLDS_EXPANDED, with_auc=False)
     return sweep.select("model", "threshold", *[c.alias(name) for name, c in L.screening_gates().items()])
 
 
@@ -395,7 +397,7 @@ select model, task, round(accuracy,6) as accuracy, round(balanced_accuracy,6) as
 def system_comparison(fx):
     grading = M.evaluate(fx.preds, ["model"]).select(
         "model", F.lit("grading").alias("task"), "accuracy", "balanced_accuracy", "macro_f1")
-    screening = M.threshold_sweep(fx.preds, ["model"], "score", POSITIVE, [0.5], with_auc=False).select(
+    screening = M.threshold_sweep(fx.preds, ["model"], "score", positive(), [0.5], with_auc=False).select(
         "model", F.lit("screening").alias("task"), "accuracy", "balanced_accuracy", "recall", "false_negatives")
     table = grading.unionByName(screening, allowMissingColumns=True)
     baseline = grading.filter("model = 'm1'")
