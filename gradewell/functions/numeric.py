@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -66,3 +66,8 @@ def param_value(raw: Column, name: Column, integer_names: Sequence[str]) -> Colu
     text = F.when(F.lower(F.trim(raw)).isin("nan", "none", "null", ""), None).otherwise(raw)
     whole = text.try_cast("double").cast("bigint").cast("string")
     return F.when(name.isin(*integer_names), whole).otherwise(text)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
+from gradewell.functions.numeric import bind
 
 ENTROPY_FLOOR = 1e-9
 
@@ -36,13 +37,18 @@ def prediction_features(prob: Column, positive_from: int = K.POSITIVE_MIN_GRADE)
     }
 
 
+def scaled(values: Column) -> Column:
+    """The values divided by their sum; values without a positive sum stay as they are."""
+    return bind(array_total(values), lambda whole: F.when(whole > 0, F.transform(
+        values, lambda v: v / F.greatest(whole, F.lit(1e-12)))).otherwise(values))
+
+
 def soft_classes(value: Column, squared: bool = False, labels: Sequence[int] = K.GRADES) -> Column:
     """Softmax of the negative distance (or its square) of a continuous grade to each label."""
     centres = F.array(*[F.lit(float(k)) for k in labels])
     distance = F.transform(centres, lambda c: -F.pow(c - value, 2) if squared else -F.abs(c - value))
-    nearest = F.array_max(distance)
-    exp = F.transform(distance, lambda d: F.exp(d - nearest))
-    return F.transform(exp, lambda e: e / array_total(exp))
+    exp = bind(distance, lambda ds: F.transform(ds, lambda d: F.exp(d - F.array_max(ds))))
+    return bind(exp, scaled)
 
 
 def logistic_score(value: Column, centre: float) -> Column:
@@ -52,9 +58,8 @@ def logistic_score(value: Column, centre: float) -> Column:
 def align(prob_by_class: Column, labels: Sequence[int] = K.GRADES) -> Column:
     """A map of class to probability as an array over ``labels``; rows with a positive sum add up to 1."""
     wanted = F.array(*[F.lit(k) for k in labels])
-    aligned = F.transform(wanted, lambda k: F.coalesce(F.try_element_at(prob_by_class, k), F.lit(0.0)))
-    whole = array_total(aligned)
-    return F.when(whole > 0, F.transform(aligned, lambda p: p / F.greatest(whole, F.lit(1e-12)))).otherwise(aligned)
+    aligned = bind(prob_by_class, lambda known: F.transform(wanted, lambda k: F.coalesce(F.try_element_at(known, k), F.lit(0.0))))
+    return bind(aligned, scaled)
 
 
 def decide(prob: Column, labels: Sequence[int] = K.GRADES, threshold: float | None = None) -> Column:
@@ -69,7 +74,11 @@ def weighted_vote(probs: Sequence[Column], weights: Sequence[float] | None = Non
     """Weighted mean of probability arrays of equal length."""
     weights = list(weights or [1.0] * len(probs))
     whole = sum(weights)
+
+    def plus(weight: float):
+        return lambda a, p: a + p * weight
+
     summed = F.transform(probs[0], lambda p: p * weights[0])
     for prob, weight in zip(probs[1:], weights[1:]):
-        summed = F.zip_with(summed, prob, lambda a, p, weight=weight: a + p * weight)
+        summed = F.zip_with(summed, prob, plus(weight))
     return F.transform(summed, lambda s: s / whole)

@@ -268,6 +268,8 @@ def oracle(views: str, body: str) -> str:
                 names.append(needed)
     ctes = [f"{name} as materialized ({VIEWS[name]})" for name in names]
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes + [body[15:]])
     if body.lower().startswith("with "):
         body = body[5:]
         return "with " + ",\n".join(ctes + [body]) if ctes else "with " + body
