@@ -1 +1,198 @@
+"""Queries that fit and apply models on the feature table. Models are small; rows are all used."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradewell import constants as K
+from gradewell.models import prep, training as T
+from gradewell.operators import metrics as M
+from gradewell.operators import profile as P
+from gradewell.operators import splits as S
+from gradewell.plans.fixtures import FEATURES
+from gradewell.plans.profiling import long_sql
+from gradewell.plans.registry import CATALOG
+from gradewell.plans.splits import split_sql
+from gradewell.plans.tools import tidy
+from gradewell.session import materialize
+
+query = CATALOG.query
+INPUTS = ["n_lines", "qty_sum", "qty_max", "price_max", "tax_max", "total", "disc_max"]
+SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted_trees": {"maxIter": 5, "maxDepth": 3}}
+
+
+def split(fx):
+    """(train, test) of the feature table by a stratified hash split.
+
+    The table is written once: fitting reads it many times and must not derive it again.
+    """
+    table = S.stratified_split(materialize(fx.feats), ["label"], "row_id", 0.2, 0.2)
+    return table.filter("split <> 'test'"), table.filter("split = 'test'")
+
+
+TRAIN = f"{split_sql('0.2', '0.2')}, train as (select * from sp where split<>'test')"
+
+
+@query("m01_train_medians", "feats", f"""with {TRAIN}, {long_sql(INPUTS, 'train')}, m as (select feature, coalesce(quantile_cont(v,0.5),0) as med from long group by feature)
+select row_id, coalesce(disc_max, (select med from m where feature='disc_max')) as disc_max from sp where split='test'""")
+def train_medians(fx):
+    train, test = split(fx)
+    return P.fill_medians(test, INPUTS, P.medians(train, INPUTS)).select("row_id", "disc_max")
+
+
+SCALED = """select row_id, round((qty_sum-(select avg(qty_sum) from train))/(select stddev_pop(qty_sum) from train),6) as qty_sum_standard,
+  round((qty_sum-(select quantile_cont(qty_sum,0.5) from train))/(select quantile_cont(qty_sum,0.75)-quantile_cont(qty_sum,0.25) from train),6) as qty_sum_robust,
+  round((total-(select avg(total) from train))/(select stddev_pop(total) from train),6) as total_standard,
+  round((total-(select quantile_cont(total,0.5) from train))/(select quantile_cont(total,0.75)-quantile_cont(total,0.25) from train),6) as total_robust from sp where split='test'"""
+
+
+@query("m02_scaled_features", "feats", f"with {TRAIN} {SCALED}")
+def scaled_features(fx):
+    train, test = split(fx)
+    out = test.select("row_id", "qty_sum", "total")
+    for kind in ("standard", "robust"):
+        fitted = prep.fit_preparation(train, ["qty_sum", "total"], kind)
+        out = out.withColumns({f"{f}_{kind}": (F.col(f) - fitted.centre[f]) / fitted.scale[f] for f in ("qty_sum", "total")})
+    return tidy(out.drop("qty_sum", "total"))
+
+
+def evaluated(fx, name, features=INPUTS, binary=False, **params):
+    """Holdout metrics of one model."""
+    train, test = split(fx)
+    label, labels = "label", K.GRADES
+    if binary:
+        train, test = (t.withColumn("label", (F.col("label") >= K.POSITIVE_MIN_GRADE).cast("int")) for t in (train, test))
+        labels = [0, 1]
+    model = T.fit(train, features, name, label, **params)
+    scored = T.predictions(model, test, ["row_id"], label, labels).withColumn("model", F.lit(name))
+    return M.evaluate(scored, ["model"], labels)
+
+
+@query("m03_pipeline_grid")
+def pipeline_grid(fx):
+    """Scaler and feature engineering chosen by out-of-fold metrics of one classifier."""
+    base = ["ma_count", "ma_area", "hemorrhage_area", "vessel_density", "glcm_contrast"]
+    engineered = [*base, "burden_lesion_burden", "burden_exudate_burden"]
+    table = prep.BurdenFeatures().transform(fx.measures).select("row_id", "label", *engineered)
+    folds = S.stratified_folds(materialize(table), ["label"], "row_id", 2)
+    parts = None
+    for scaler in ("standard", "robust"):
+        for name, columns in (("base", base), ("engineered", engineered)):
+            oof = T.out_of_fold(folds, columns, "logistic_regression", "row_id", scaler=scaler, maxIter=10)
+            part = oof.select("y_true", "y_pred", F.lit(scaler).alias("scaler"), F.lit(name).alias("engineering"))
+            parts = part if parts is None else parts.unionByName(part)
+    return tidy(M.evaluate(parts, ["scaler", "engineering"]).select("scaler", "engineering", "macro_f1", "macro_recall"))
+
+
+@query("m04_logistic_regression")
+def logistic_regression(fx):
+    return evaluated(fx, "logistic_regression", maxIter=20).unionByName(
+        evaluated(fx, "logistic_regression", binary=True, maxIter=20), allowMissingColumns=True)
+
+
+@query("m05_forests")
+def forests(fx):
+    return evaluated(fx, "random_forest", numTrees=10, maxDepth=5).unionByName(
+        evaluated(fx, "extra_trees", numTrees=10, maxDepth=5)).unionByName(evaluated(fx, "balanced_forest", numTrees=10, maxDepth=5))
+
+
+@query("m06_boosted_trees")
+def boosted_trees(fx):
+    return evaluated(fx, "boosted_trees", binary=True, maxIter=5, maxDepth=3)
+
+
+@query("m06_boosted_trees_grades")
+def boosted_trees_grades(fx):
+    return evaluated(fx, "boosted_trees", maxIter=3, maxDepth=3)
+
+
+@query("m07_naive_bayes")
+def naive_bayes(fx):
+    return evaluated(fx, "naive_bayes")
+
+
+@query("m08_support_vectors")
+def support_vectors(fx):
+    return evaluated(fx, "linear_svm", binary=True, maxIter=10).unionByName(
+        evaluated(fx, "kernel_svm", binary=True, components=64, maxIter=10))
+
+
+def folded(fx, folds=3):
+    return S.stratified_folds(materialize(fx.feats.select("row_id", "label", *INPUTS)), ["label"], "row_id", folds)
+
+
+@query("g06_out_of_fold")
+def out_of_fold(fx):
+    oof = T.out_of_fold(folded(fx), INPUTS, "naive_bayes", "row_id")
+    return oof.select("row_id", "fold", "y_true", "y_pred")
+
+
+@query("m10_cross_validation")
+def cross_validation(fx):
+    metrics = T.cross_validate(folded(fx, 2), INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
+    return tidy(S.fold_summary(metrics, ["model"], ["accuracy", "balanced_accuracy", "macro_f1", "macro_recall", "quadratic_kappa"]))
+
+
+@query("m11_parameter_search")
+def parameter_search(fx):
+    table = folded(fx, 2)
+    candidates = [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 8, "maxDepth": 4}]
+    first = T.search(table, INPUTS, "random_forest", candidates[:1], "row_id")
+    return tidy(T.search(table, INPUTS, "random_forest", candidates, "row_id", done=first))
+
+
+@query("m13_stacking")
+def stacking(fx):
+    top, meta = T.stack(folded(fx, 2), INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
+    scored = T.predictions(top, meta, ["row_id"]).withColumn("model", F.lit("stacking"))
+    return tidy(M.evaluate(scored, ["model"]).select("model", "n_rows", "accuracy", "macro_f1", "quadratic_kappa"))
+
+
+@query("m14_calibration")
+def calibration(fx):
+    rows = materialize(fx.preds.filter("model = 'm1'").select("row_id", "score", "y_true"))
+    table = S.stratified_split(rows, ["y_true"], "row_id", 0.3, 0.5)
+    y = F.col("y_true") >= K.POSITIVE_MIN_GRADE
+    return tidy(T.calibration_table(table.filter("split = 'val'"), table.filter("split = 'test'"), "score", y))
+
+
+@query("m17_native_importance")
+def native_importance(fx):
+    train, _ = split(fx)
+    return tidy(T.native_importance(T.fit(train, INPUTS, "random_forest", numTrees=10, maxDepth=5), INPUTS, fx.spark))
+
+
+@query("m17_permutation_importance")
+def permutation_importance(fx):
+    train, test = split(fx)
+    model = T.fit(train, INPUTS, "random_forest", numTrees=10, maxDepth=5)
+    return tidy(T.permutation_importance(model, test, INPUTS, "row_id", repeats=2))
+
+
+@query("m18_embedding_pca")
+def embedding_pca(fx):
+    """Components fitted on training vectors and applied to all, with the explained share of each."""
+    vectors = prep.embedding_vectors(fx.table("embeddings"), "embedding")
+    table = S.stratified_split(materialize(vectors), ["label"], "vec_id", 0.2, 0.2)
+    model, explained = prep.fit_pca(table.filter("split = 'train'"), "vector", 8)
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(table).select("vec_id", "split", vector_to_array("components").alias("c"))
+    share = F.array(*[F.lit(v) for v in explained])
+    return tidy(out.select("vec_id", "split", F.posexplode("c").alias("component", "value"))
+                .withColumn("explained", share[F.col("component")]).withColumn("value", F.abs("value")))
+
+
+@query("m19_feature_versions")
+def feature_versions(fx):
+    train, test = split(fx)
+    versions = {"quantities": ["n_lines", "qty_sum", "qty_max"], "all": INPUTS}
+    table = T.version_grid(train, test, versions, ["naive_bayes"], "row_id")
+    return tidy(table.select("model", "feature_version", "rank", "macro_f1", "balanced_accuracy"))
+
+
+@query("m20_batch_scoring")
+def batch_scoring(fx):
+    train, test = split(fx)
+    model = T.fit(train, INPUTS, "naive_bayes")
+    scored = T.score_batch(model, test.drop("label"), "row_id", F.col("row_id"), ["total"])
+    return tidy(scored.select("row_id", "position", "predicted_class", "class_name", "confidence", "total"))
