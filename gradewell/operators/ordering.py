@@ -46,8 +46,14 @@ def _with_strata(df: DataFrame, targets: DataFrame, strata: Sequence[str]) -> tu
     return df.withColumn(WHOLE, F.lit(0)), targets.withColumn(WHOLE, F.lit(0)), [WHOLE]
 
 
+def bucket_sizes(df: DataFrame, strata: Sequence[str], key: str, seed: int, digits: int = HASH_DIGITS) -> DataFrame:
+    """Rows per stratum and hash bucket: at most 16 ** digits rows per stratum."""
+    bucket = F.substring(hash_order(seed, key), 1, digits)
+    return settle(df.groupBy(*strata, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")))
+
+
 def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets: DataFrame,
-              digits: int = HASH_DIGITS) -> DataFrame:
+              digits: int = HASH_DIGITS, sizes: DataFrame | None = None) -> DataFrame:
     """The (hash, key) found at given ranks of the hash order, one array of cuts per stratum.
 
     ``targets`` holds one row per stratum and cut: the strata columns, ``cut`` (0, 1, ...) and
@@ -57,7 +63,8 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
     df, targets, strata = _with_strata(df, targets, strata)
     slim = df.select(*strata, key, hash_order(seed, key).alias("_hash"))
     slim = slim.withColumn("_bucket", F.substring("_hash", 1, digits))
-    sizes = settle(slim.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    if sizes is None:
+        sizes = bucket_sizes(df, strata, key, seed, digits)
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     edges = sizes.select(*strata, "_bucket", "_n", F.sum("_n").over(run).alias("_end"))
     hit = (
@@ -85,10 +92,10 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
 
 
 def assign_blocks(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets: DataFrame,
-                  column: str = "block", digits: int = HASH_DIGITS) -> DataFrame:
+                  column: str = "block", digits: int = HASH_DIGITS, sizes: DataFrame | None = None) -> DataFrame:
     """Add the number of the block between cuts a row falls in; the wide rows are never shuffled."""
     df, targets, strata = _with_strata(df, targets, strata)
-    return apply_cuts(df, strata, key, seed, hash_cuts(df, strata, key, seed, targets, digits), column)
+    return apply_cuts(df, strata, key, seed, hash_cuts(df, strata, key, seed, targets, digits, sizes), column)
 
 
 def apply_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, cuts: DataFrame, column: str) -> DataFrame:

@@ -21,6 +21,7 @@ from gradewell.functions.numeric import finite
 from gradewell.session import settle
 
 QUANTILE_ACCURACY = 10_000
+SMALL_ROWS = 200_000
 
 
 def feature_rows(aggregated: DataFrame, by: Sequence[str], features: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -48,13 +49,21 @@ def column_profile(df: DataFrame, features: Sequence[str], by: Sequence[str] = (
     return feature_rows(grouped, by, features, names)
 
 
-def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float],
+                    small_rows: int = SMALL_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (feature, q, value); NULLs are ignored.
 
     ``percentile`` would gather every distinct value of a column in one task. Here approximate
     quantiles with a known rank error bracket each answer, and only values inside the brackets
     (about 1/2000 of the rows per quantile) are counted and ordered. A column without values gives NULL.
+    Tables of at most ``small_rows`` rows take the one-pass form, whose buffers that number bounds.
     """
+    if df.count() <= small_rows:
+        points = F.array(*[F.lit(float(q)) for q in probabilities])
+        found = df.agg(*[F.percentile(finite(F.col(f).cast("double")), points).alias(f) for f in features])
+        return found.select(F.inline(F.array(*[
+            F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.col(f"`{f}`")[i].alias("value"))
+            for f in features for i, q in enumerate(probabilities)])))
     margin = 2.0 / QUANTILE_ACCURACY
     aggregates = []
     for f in features:

@@ -40,7 +40,8 @@ def session_summary(images: DataFrame, by: Sequence[str], order: str, name: str,
 def mean_probabilities(images: DataFrame, by: Sequence[str], probabilities: str) -> DataFrame:
     """Mean per key of a probability map over the images that have the key, as a map, six decimals."""
     entries = images.select(*by, F.explode(probabilities).alias("k", "v"))
-    means = entries.groupBy(*by, "k").agg(F.bround(F.avg("v"), 6).alias("v"))
+    # Half to even on the decimal value: digits beyond the twelfth are noise of the summation.
+    means = entries.groupBy(*by, "k").agg(F.bround(F.round(F.avg("v"), 12), 6).alias("v"))
     return means.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("average_probabilities"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
-from gradewell.operators.ordering import assign_blocks, hash_cuts, apply_cuts
+from gradewell.operators.ordering import apply_cuts, assign_blocks, bucket_sizes, hash_cuts
 from gradewell.session import settle
 
 
@@ -21,6 +21,10 @@ def stratum_counts(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     return settle(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")))
 
 
+def bucket_totals(sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
+    return sizes.groupBy(*strata).agg(F.sum("_n").alias("n"))
+
+
 def apportion(counts: DataFrame, strata: Sequence[str], draws: Column, size: str = "n") -> DataFrame:
     """Largest-remainder shares of ``draws`` among the strata, in whole rows, as ``take``.
 
@@ -58,8 +62,9 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, test: float
 
     ``validation`` is a fraction of what test leaves over: 0.20/0.20, or 0.15 and 0.15/0.85.
     """
-    targets = settle(split_targets(stratum_counts(df, strata), strata, test, validation))
-    blocks = assign_blocks(df, strata, key, seed, targets)
+    sizes = bucket_sizes(df, strata, key, seed)
+    targets = split_targets(bucket_totals(sizes, strata), strata, test, validation)
+    blocks = assign_blocks(df, strata, key, seed, targets, sizes=sizes)
     name = F.when(F.col("block") == 0, "test").when(F.col("block") == 1, "val").otherwise("train")
     return blocks.withColumn("split", name).drop("block")
 
@@ -72,14 +77,15 @@ def effective_folds(counts: DataFrame, folds: int) -> int:
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, folds: int = 5, seed: int = K.SEED) -> DataFrame:
     """Add ``fold`` 0..k-1; fold sizes within a stratum differ by at most one row."""
-    counts = stratum_counts(df, strata)
+    sizes = bucket_sizes(df, strata, key, seed)
+    counts = bucket_totals(sizes, strata)
     k = effective_folds(counts, folds)
     cuts = F.array(*[
         F.struct(F.lit(i).alias("cut"),
                  (F.expr(f"n div {k}") * (i + 1) + F.least(F.lit(i + 1), F.col("n") % k)).alias("upto"))
         for i in range(k - 1)])
-    targets = settle(counts.select(*strata, F.inline(cuts)))
-    return assign_blocks(df, strata, key, seed, targets, "fold")
+    targets = counts.select(*strata, F.inline(cuts))
+    return assign_blocks(df, strata, key, seed, targets, "fold", sizes=sizes)
 
 
 def group_split(df: DataFrame, group: str, test: float = 0.20, validation: float = 0.20, seed: int = K.SEED) -> DataFrame:
@@ -90,8 +96,9 @@ def group_split(df: DataFrame, group: str, test: float = 0.20, validation: float
     """
     whole = df.withColumn("_whole", F.lit(0))
     groups = whole.select("_whole", group).distinct()
-    targets = settle(split_targets(stratum_counts(groups, ["_whole"]), ["_whole"], test, validation))
-    cuts = hash_cuts(groups, ["_whole"], group, seed, targets)
+    sizes = bucket_sizes(groups, ["_whole"], group, seed)
+    targets = split_targets(bucket_totals(sizes, ["_whole"]), ["_whole"], test, validation)
+    cuts = hash_cuts(groups, ["_whole"], group, seed, targets, sizes=sizes)
     blocks = apply_cuts(whole, ["_whole"], group, seed, cuts, "block")
     name = F.when(F.col("block") == 0, "test").when(F.col("block") == 1, "val").otherwise("train")
     return blocks.withColumn("split", name).drop("block")

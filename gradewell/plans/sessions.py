@@ -26,7 +26,8 @@ def session_summary(fx):
 @query("s02_mean_probabilities", "shots", f"""with {SCREENED}, e as (select session_id, 'Referable' as k, p_ref as v from screen where quality_ok and available
   union all select session_id, 'Non-Referable', 1-p_ref from screen where quality_ok and available and event_id%3<>0)
 select session_id, max(case when k='Referable' then m end) as referable, max(case when k='Non-Referable' then m end) as non_referable
-from (select session_id, k, round_even(avg(v),6) as m from e group by session_id, k) group by session_id""")
+from (select session_id, k, (x//1000000 + case when x%1000000>500000 or (x%1000000=500000 and (x//1000000)%2=1) then 1 else 0 end)/1000000.0::double as m
+  from (select session_id, k, cast(round(avg(v)*1000000000000) as bigint) as x from e group by session_id, k)) group by session_id""")
 def mean_probabilities(fx):
     """Some images lack a key; it is averaged over the others."""
     p = F.col("positive_probability")

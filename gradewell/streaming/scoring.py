@@ -24,5 +24,6 @@ def score_stream(events: DataFrame, grading: PipelineModel, quality_ok: Column,
     scored = scored.withColumn("_p", positive).withColumn("grade", first_argmax(F.col("_prob")))
     decision = reconcile(F.col("_p") >= threshold, F.col("grade"))
     fields = screening_result(F.col("_ok"), F.lit(True), decision["status"] == "aligned", F.col("_p") >= threshold, F.col("_p"))
-    drop = ["_ok", "_prob", "_p", "probability", "rawPrediction", "prediction"]
+    fields["result_label"] = fields.pop("label")  # events may bring a label of their own
+    drop = ["_ok", "_prob", "_p", "features", "probability", "rawPrediction", "prediction"]
     return scored.select("*", *[c.alias(n) for n, c in fields.items()]).drop(*[c for c in drop if c in scored.columns])
