@@ -32,21 +32,25 @@ def feature_rows(aggregated: DataFrame, by: Sequence[str], features: Sequence[st
 
 def column_profile(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Counts of missing, NaN and infinite cells, range and moments per feature, in one pass."""
-    names = ["n_rows", "n", "n_null", "n_nan", "n_inf", "minimum", "maximum", "max_abs", "mean", "var_pop", "var_samp"]
+    prepared = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features]).select(
+        "*", *[finite(F.col(f)).alias(f"{f}__clean") for f in features])
     aggregates = []
     for f in features:
-        raw = F.col(f).cast("double")
-        clean = finite(raw)
+        raw, clean = F.col(f), F.col(f"{f}__clean")
         aggregates += [
-            F.count(F.lit(1)).alias(f"{f}__n_rows"), F.count(clean).alias(f"{f}__n"),
-            F.count_if(raw.isNull()).alias(f"{f}__n_null"), F.count_if(F.isnan(raw)).alias(f"{f}__n_nan"),
-            F.count_if(F.abs(raw) == float("inf")).alias(f"{f}__n_inf"),
+            F.count(raw).alias(f"{f}__raw"), F.count(clean).alias(f"{f}__n"), F.count_if(F.isnan(raw)).alias(f"{f}__nan"),
             F.min(clean).alias(f"{f}__minimum"), F.max(clean).alias(f"{f}__maximum"),
-            F.max(F.abs(clean)).alias(f"{f}__max_abs"), F.avg(clean).alias(f"{f}__mean"),
-            F.var_pop(clean).alias(f"{f}__var_pop"), F.var_samp(clean).alias(f"{f}__var_samp"),
+            F.avg(clean).alias(f"{f}__mean"), F.var_pop(clean).alias(f"{f}__var_pop"),
         ]
-    grouped = df.groupBy(*by).agg(*aggregates)
-    return feature_rows(grouped, by, features, names)
+    grouped = prepared.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    stored = feature_rows(grouped.withColumns({f"{f}___rows": F.col("_rows") for f in features}), by, features,
+                          ["_rows", "raw", "n", "nan", "minimum", "maximum", "mean", "var_pop"])
+    n = F.col("n")
+    return stored.select(
+        *by, "feature", F.col("_rows").alias("n_rows"), "n", (F.col("_rows") - F.col("raw")).alias("n_null"),
+        F.col("nan").alias("n_nan"), (F.col("raw") - F.col("nan") - n).alias("n_inf"), "minimum", "maximum",
+        F.greatest(F.abs("minimum"), F.abs("maximum")).alias("max_abs"), "mean", "var_pop",
+        F.when(n > 1, F.col("var_pop") * n / (n - 1)).alias("var_samp"))
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float],

@@ -8,7 +8,7 @@ from gradewell import constants as K
 from gradewell.operators import leaderboard as L
 from gradewell.operators import metrics as M
 from gradewell.plans.registry import CATALOG
-from gradewell.plans.tools import doubles_sql, tidy, wide_ints
+from gradewell.plans.tools import doubles_sql, tidy
 
 query = CATALOG.query
 def positive():

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.session import materialize
+
 FEATURES = ["n_lines", "qty_sum", "qty_max", "qty_dup", "price_max", "tax_max", "total",
             "const_one", "near_const", "disc_max"]
 
@@ -80,6 +82,11 @@ class Fixtures:
             F.when(key % 13 == 0, None).otherwise(F.col("disc")).alias("disc_max"),
         )
 
+    @cached_property
+    def feats_once(self) -> DataFrame:
+        """The feature table written once, for operators that read their input several times."""
+        return materialize(self.feats)
+
     @cached_property
     def measures(self) -> DataFrame:
         """Feature rows with named measurement columns."""

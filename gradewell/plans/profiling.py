@@ -104,7 +104,7 @@ p as (select feature, var_pop(v) as vp from long group by feature)
 select feature, {seven_sql('case when coalesce(d,0)<=1 then 0 else vp end')} as variance, coalesce(d,0)<=1 as is_constant,
   coalesce(d,0)>1 and (vp<=1e-8 or (ratio<0.01 and top>0.95)) as near_zero_variance from p left join s using (feature)""")
 def variance_audit(fx):
-    return P.variance_audit(fx.feats, FEATURES).withColumn("variance", seven(F.col("variance")))
+    return P.variance_audit(fx.feats_once, FEATURES).withColumn("variance", seven(F.col("variance")))
 
 
 AUDIT = f"""{long_sql()}, {FILLED},
@@ -116,7 +116,7 @@ audit as (select feature, var_samp(v) as variance, any_value(d)<=1 as is_constan
 
 @query("e06_filled_audit", "feats", f"with {AUDIT} select feature, {seven_sql('variance')} as variance, is_constant, near_constant from audit")
 def filled_audit(fx):
-    return P.filled_audit(fx.feats, FEATURES).withColumn("variance", seven(F.col("variance")))
+    return P.filled_audit(fx.feats_once, FEATURES).withColumn("variance", seven(F.col("variance")))
 
 
 VERSIONS = {"all": FEATURES, "quantities": ["qty_sum", "qty_max", "qty_dup", "n_lines"], "prices": ["price_max", "total", "disc_max"]}
@@ -135,7 +135,7 @@ def version_sql(name, columns) -> str:
 
 @query("e07_version_audit", "feats", " union all ".join(version_sql(n, c) for n, c in VERSIONS.items()))
 def version_audit(fx):
-    return P.version_audit(fx.feats, VERSIONS, "row_id")
+    return P.version_audit(fx.feats_once, VERSIONS, "row_id")
 
 
 @query("e08_extreme_features", "feats", f"""with {long_sql()}
@@ -154,7 +154,7 @@ ORDER = "ord as (select * from (values " + ", ".join(f"('{f}',{i})" for i, f in
 @query("e09_spearman_pairs", "feats", f"with {long_sql(VARYING)}, {FILLED}, {ORDER}, {SPEARMAN} "
        "select feature_a, feature_b, round(correlation,6) as correlation from pairs where correlation>=0.5")
 def spearman_pairs(fx):
-    filled = P.fill_medians(fx.feats, VARYING, P.medians(fx.feats, VARYING))
+    filled = P.fill_medians(fx.feats_once, VARYING, P.medians(fx.feats_once, VARYING))
     return tidy(P.correlation_pairs(filled, VARYING).filter("correlation >= 0.5"))
 
 
@@ -162,7 +162,7 @@ def spearman_pairs(fx):
     f"select '{a}' as feature_a, '{b}' as feature_b, round(abs(corr({a},{b})),6) as correlation from feats"
     for i, a in enumerate(VARYING) for b in VARYING[i + 1:]) + ")")
 def pearson_pairs(fx):
-    return tidy(P.pairwise_pearson(fx.feats, VARYING))
+    return tidy(P.pairwise_pearson(fx.feats_once, VARYING))
 
 
 PRIORITY_SQL = """case when lower({0}) like '%quality\\_%' escape '\\' or lower({0}) like '%brightness%' or lower({0}) like '%blur%' or lower({0}) like '%sharpness%'
@@ -176,7 +176,7 @@ drops as (select feature_a, feature_b, correlation, case when {PRIORITY_SQL.form
 
 
 def correlated(fx, columns):
-    filled = P.fill_medians(fx.feats, columns, P.medians(fx.feats, columns))
+    filled = P.fill_medians(fx.feats_once, columns, P.medians(fx.feats_once, columns))
     variances = P.column_profile(filled, columns).select("feature", F.col("var_samp").alias("variance"))
     return P.correlated_drops(P.correlation_pairs(filled, columns), variances, 0.9)
 
@@ -193,7 +193,7 @@ union all select feature, 'near_constant' from audit where near_constant and fea
 union all select distinct suggested_remove, 'highly_correlated_duplicate' from drops
   where suggested_remove not in (select feature from audit where is_constant or near_constant)""")
 def removed_features(fx):
-    audit = P.filled_audit(fx.feats, FEATURES)
+    audit = P.filled_audit(fx.feats_once, FEATURES)
     return P.removed_features(audit, correlated(fx, VARYING), P.is_finding(F.col("feature")))
 
 
@@ -232,7 +232,7 @@ w as (select *, sum(m) over (partition by feature)::double as n, sum(m) over (pa
 
 @query("e15_binned_mutual_information", "feats", f"with {MUTUAL} select feature, round(sum(m/n*ln(m*n/(nb*nl))),9) as score from w group by feature")
 def binned_mutual_information(fx):
-    return tidy(P.binned_mutual_information(fx.feats, FEATURES), 9)
+    return tidy(P.binned_mutual_information(fx.feats_once, FEATURES), 9)
 
 
 @query("e16_feature_group_counts", "feats", f"""with {MOMENTS}, r as (select feature, row_number() over (order by b/greatest(w,1e-9::double) desc, feature) as rank from mo),
@@ -252,7 +252,7 @@ def feature_group_counts(fx):
 
 @query("e17_medians", "feats", f"with {long_sql()} select feature, {seven_sql('coalesce(quantile_cont(v,0.5),0)')} as median from long group by feature")
 def medians(fx):
-    return P.medians(fx.feats, FEATURES).withColumn("median", seven(F.col("median")))
+    return P.medians(fx.feats_once, FEATURES).withColumn("median", seven(F.col("median")))
 
 
 @query("e18_distribution_shape", "feats", f"""with {long_sql()},
@@ -264,7 +264,7 @@ s as (select feature, case when any_value(sd)<=1e-8 then 0 else avg(pow((v-mu)/s
   case when any_value(sd)<=1e-8 then 0 else avg(pow((v-mu)/sd,4))-3 end as kurtosis from b group by feature)
 select feature, round(entropy,6) as entropy, round(entropy/4,6) as normalized_entropy, round(skewness,6) as skewness, round(kurtosis,5) as kurtosis from h join s using (feature)""")
 def distribution_shape(fx):
-    shape = P.distribution_shape(fx.feats, FEATURES)
+    shape = P.distribution_shape(fx.feats_once, FEATURES)
     return shape.select("feature", *[F.round(c, 5 if c == "kurtosis" else 6).alias(c) for c in shape.columns[1:]])
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gradewell.operators import metrics as M
 from gradewell.operators import splits as S
 from gradewell.plans.registry import CATALOG
-from gradewell.plans.tools import tidy, wide_ints
+from gradewell.plans.tools import tidy
+from gradewell.session import materialize
 
 query = CATALOG.query
 
@@ -25,28 +26,33 @@ v3 as (select label, n_test, n_test + b + (row_number() over (order by l desc, l
 sp as (select o.*, case when rn<=n_test then 'test' when rn<=n_both then 'val' else 'train' end as split from o join v3 using (label))"""
 
 
+def keys(fx):
+    """Key and label, written once: cut points take several passes over them."""
+    return materialize(fx.feats.select("row_id", "label"))
+
+
 @query("g01_split_80_20", "feats", f"with {split_sql('0.2', '0.2')} select row_id, label, split from sp")
 def split_80_20(fx):
-    return S.stratified_split(fx.feats.select("row_id", "label"), ["label"], "row_id", 0.2, 0.2)
+    return S.stratified_split(keys(fx), ["label"], "row_id", 0.2, 0.2)
 
 
 @query("g02_split_70_15_15", "feats",
        f"with {split_sql('0.15', '0.15::double/0.85::double')} select row_id, label, split from sp")
 def split_70_15_15(fx):
-    return S.stratified_split(fx.feats.select("row_id", "label"), ["label"], "row_id", 0.15, 0.15 / 0.85)
+    return S.stratified_split(keys(fx), ["label"], "row_id", 0.15, 0.15 / 0.85)
 
 
 @query("g03_stratified_folds", "feats", """
 select row_id, label, (ntile(5) over (partition by label order by md5('42|' || row_id), row_id) - 1)::int as fold from feats""")
 def stratified_folds(fx):
-    return S.stratified_folds(fx.feats.select("row_id", "label"), ["label"], "row_id", 5)
+    return S.stratified_folds(keys(fx), ["label"], "row_id", 5)
 
 
 @query("g05_split_report", "feats", f"""with {split_sql('0.2', '0.2')}
 select split, label, count(*) as n, sum(count(*)) over (partition by split)::bigint as split_size,
   round(count(*)/sum(count(*)) over (partition by split),6) as share from sp group by split, label""")
 def split_report(fx):
-    split = S.stratified_split(fx.feats.select("row_id", "label"), ["label"], "row_id", 0.2, 0.2)
+    split = S.stratified_split(keys(fx), ["label"], "row_id", 0.2, 0.2)
     return tidy(S.split_report(split, "label"))
 
 
@@ -90,7 +96,7 @@ p as (select * from (values ('train','val'),('train','test'),('val','test')) as
 select left_split, right_split, count(b.row_id) as n_shared, count(b.row_id)=0 as disjoint
 from p join sp a on a.split=left_split left join sp b on b.split=right_split and b.row_id=a.row_id group by left_split, right_split""")
 def split_overlaps(fx):
-    split = S.stratified_split(fx.feats.select("row_id", "label"), ["label"], "row_id", 0.2, 0.2)
+    split = S.stratified_split(keys(fx), ["label"], "row_id", 0.2, 0.2)
     return S.split_overlaps(split, "row_id")
 
 
@@ -130,7 +136,7 @@ HASHED = "h as (select row_id, label, md5('42|' || row_id) as h from feats)"
 @query("f07_stratified_cap", "feats", f"""with {HASHED}
 select row_id, label from (select *, row_number() over (partition by label order by h, row_id) as rn from h) where rn<=1000//5""")
 def stratified_cap(fx):
-    return S.stratified_cap(fx.feats.select("row_id", "label"), "label", "row_id", 1000)
+    return S.stratified_cap(keys(fx), "label", "row_id", 1000)
 
 
 @query("f08_balanced_sample", "", """
@@ -146,4 +152,4 @@ def balanced_sample(fx):
 
 @query("f09_hash_sample", "feats", f"with {HASHED} select row_id, label from h order by h, row_id limit 500")
 def hash_sample(fx):
-    return S.sample_rows(fx.feats.select("row_id", "label"), "row_id", 500)
+    return S.sample_rows(keys(fx), "row_id", 500)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -15,15 +15,5 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
-def wide_ints(df: DataFrame, *columns: str) -> DataFrame:
-    """Cast 32-bit columns to BIGINT."""
-    chosen = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, IntegerType)]
-    return df.withColumns({c: F.col(c).cast("bigint") for c in chosen})
-
-
-def labels_sql(labels) -> str:
-    return "(values " + ", ".join(f"({v})" for v in labels) + ")"
-
-
 def doubles_sql(values) -> str:
     return "[" + ", ".join(f"{v!r}::double" for v in values) + "]"
