@@ -193,19 +193,19 @@ def group_of(feature: Column) -> Column:
     )
 
 
-# Prefixes of the merged tables with their group (fixed values).
+# Column prefixes of tables merged from several extractors, with their group.
 HYBRID_GROUPS = [
-    ("appdr203__", "handcrafted"),
+    ("handcrafted__", "handcrafted"),
     ("selected75__", "selected_75"),
     ("selected100__", "selected_100"),
     ("cnn_embedding__", "embedding"),
 ]
 
 
-def hybrid_group_of(feature: Column) -> Column:
-    """Group of a column of a table merged from several extractors, by prefix."""
+def hybrid_group_of(feature: Column, groups: list[tuple[str, str]] = HYBRID_GROUPS) -> Column:
+    """Group of a column of a table merged from several extractors, by prefix; the first match counts."""
     group = F.lit("image_prediction")
-    for prefix, name in reversed(HYBRID_GROUPS):
+    for prefix, name in reversed(groups):
         group = F.when(feature.startswith(prefix), name).otherwise(group)
     return group
 

@@ -208,7 +208,6 @@ def study_features(fx):
     return derived(table, X.study_features(table, X.quality_cuts(table)))
 
 
-NAMES = "(select unnest(['" + "','".join([*MEASURES, "ma_count", "hemorrhage_area", "total"]) + "']) as feature)"
 GROUP_SQL = """case when feature like 'vessel\\_%' escape '\\' then 'vessel' when feature like 'hemorrhage%' then 'lesion_hemorrhage'
   when feature like 'ma\\_%' escape '\\' then 'lesion_microaneurysm' when feature like '%exudate%' or feature like '%cotton\\_wool%' escape '\\' or feature like '%bright\\_lesion%' escape '\\' then 'lesion_exudate'
   when feature like '%glcm%' then 'texture_glcm' when feature like '%lbp%' or feature like '%texture%' or feature like '%wavelet%' or feature like '%fft%' then 'texture_lbp'
@@ -232,6 +231,18 @@ def feature_groups(fx):
     return tidy(name_table(fx, GROUPED).withColumn("feature_group", X.group_of(F.col("feature"))))
 
 
+PREFIXES = ["handcrafted__", "selected75__", "selected100__", "cnn_embedding__", "cnn__"]
+
+
+@query("b11_prefixed_groups", "", """
+with n as (select p_partkey, ['handcrafted__','selected75__','selected100__','cnn_embedding__','cnn__'][1 + p_partkey % 5] || p_brand as feature from part)
+select p_partkey, feature, case p_partkey % 5 when 0 then 'handcrafted' when 1 then 'selected_75' when 2 then 'selected_100' when 3 then 'embedding' else 'image_prediction' end as feature_group from n""")
+def prefixed_groups(fx):
+    prefix = F.array(*[F.lit(p) for p in PREFIXES])[(F.col("p_partkey") % 5).cast("int")]
+    names = fx.table("part").select("p_partkey", F.concat(prefix, "p_brand").alias("feature"))
+    return names.withColumn("feature_group", X.hybrid_group_of(F.col("feature")))
+
+
 @query("b26_selected_features", "measures", """
 select row_id, coalesce(vessel_density,0) as vessel_density, coalesce(ma_density, ma_count/100) as ma_density,
   round(total_area,6) as total_area from (select *, ma_area+hemorrhage_area as total_area from measures)""")
