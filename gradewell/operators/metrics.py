@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gradewell import constants as K
 from gradewell.functions.numeric import total, zero_div
 from gradewell.operators.ordering import cumulative_by_value
+from gradewell.session import settle
 
 
 def cell(i: int, j: int) -> Column:
@@ -218,8 +219,8 @@ def macro_auc(df: DataFrame, by: Sequence[str], labels: Sequence[int] = K.GRADES
 def roc_points(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> DataFrame:
     """False and true positive rates per distinct score, the score being the lowest accepted one."""
     counts = score_counts(df, by, score, positive)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return counts.join(F.broadcast(totals), list(by)).select(
+    totals = settle(df.groupBy(*by).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n")))
+    return counts.join(totals, list(by)).select(
         *by, "score",
         (F.col("_p") - F.col("pos_below")).alias("tp"), (F.col("_n") - F.col("neg_below")).alias("fp"),
         zero_div(F.col("_p") - F.col("pos_below"), F.col("_p")).alias("tpr"),

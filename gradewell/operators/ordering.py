@@ -68,7 +68,7 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     edges = sizes.select(*strata, "_bucket", "_n", F.sum("_n").over(run).alias("_end"))
     hit = (
-        edges.join(F.broadcast(targets), strata)
+        edges.join(targets, strata)
         .filter((F.col("upto") <= F.col("_end")) & (F.col("upto") > F.col("_end") - F.col("_n")))
         .select(*strata, "_bucket", "cut", (F.col("upto") - F.col("_end") + F.col("_n")).alias("_position"))
     )
