@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -176,6 +177,14 @@ def calibrators(fit_rows: DataFrame, score: str, positive: Column) -> dict[str,
     }
 
 
+def calibration_tables(fit_rows: DataFrame, rows: DataFrame, score: str, positive: Column, model: str = "model") -> DataFrame:
+    """:func:`calibration_table` of every model in the rows, one fit per model and calibration."""
+    names = [r[model] for r in fit_rows.select(model).distinct().collect()]
+    parts = [calibration_table(fit_rows.filter(F.col(model).eqNullSafe(F.lit(n))), rows.filter(F.col(model).eqNullSafe(F.lit(n))), score, positive)
+             .select(F.lit(n).alias(model), "*") for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def calibration_table(fit_rows: DataFrame, rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """AUC, Brier score and log loss per calibration on held-out rows, best first (AUC, then Brier)."""
     parts = None

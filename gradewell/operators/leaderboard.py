@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
+from gradewell.operators.ordering import match
+from gradewell.session import store
 
 
 def flag(condition: Column) -> Column:
@@ -132,8 +134,8 @@ def screening_gates() -> dict[str, Column]:
 
 
 def delta_to_baseline(metrics: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each metric minus the value in the one-row baseline table."""
-    base = baseline.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    """Each metric minus its largest value in the baseline table, which usually has one row."""
+    base = baseline.agg(*[F.max(c).alias(f"_{c}") for c in columns])
     return metrics.crossJoin(F.broadcast(base)).select(
         *metrics.columns, *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in columns])
 
@@ -155,9 +157,13 @@ def most_common_wrong(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def running_best(trials: DataFrame, by: Sequence[str], trial: str, value: str, state: str) -> DataFrame:
     """Trial log with the best value of the completed trials so far."""
-    upto = Window.partitionBy(*by).orderBy(trial).rowsBetween(Window.unboundedPreceding, 0)
+    # Ranges of trials in order, however many one model has; the best of earlier ranges is carried along.
+    placed = store(trials.repartitionByRange(*by, trial).withColumn("_range", F.spark_partition_id()))
     done = F.when(F.col(state) == "COMPLETE", F.col(value))
-    return trials.withColumn("best_value", F.max(done).over(upto))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*by, "_range").agg(F.max(done).alias("_best")).select(*by, "_range", F.max("_best").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*by, "_range").orderBy(trial).rowsBetween(Window.unboundedPreceding, 0)
+    return match(placed, carried, [*by, "_range"]).withColumn("best_value", F.greatest(F.max(done).over(inside), F.col("_carried"))).drop("_range", "_carried")
 
 
 def best_trial(trials: DataFrame, by: Sequence[str], trial: str, value: str, state: str, min_trials: int = 1) -> DataFrame:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
 from gradewell.functions.numeric import total, zero_div
-from gradewell.operators.ordering import cumulative_by_value
+from gradewell.operators.ordering import cumulative_by_value, match
 from gradewell.session import settle
 
 
@@ -220,7 +222,7 @@ def roc_points(df: DataFrame, by: Sequence[str], score: str, positive: Column) -
     """False and true positive rates per distinct score, the score being the lowest accepted one."""
     counts = score_counts(df, by, score, positive)
     totals = settle(df.groupBy(*by).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n")))
-    return counts.join(totals, list(by)).select(
+    return match(counts, totals, by).select(
         *by, "score",
         (F.col("_p") - F.col("pos_below")).alias("tp"), (F.col("_n") - F.col("neg_below")).alias("fp"),
         zero_div(F.col("_p") - F.col("pos_below"), F.col("_p")).alias("tpr"),
@@ -279,7 +281,7 @@ def threshold_sweep(df: DataFrame, by: Sequence[str], score: str, positive: Colu
     swept = flat.select(*by, "threshold", *[c.alias(name) for name, c in metrics.items()], *shares)
     if not with_auc:
         return swept
-    return swept.join(auc(df, by, score, positive).select(*by, "auc"), list(by))
+    return match(swept, auc(df, by, score, positive).select(*by, "auc"), by)
 
 
 def ordinal_grade(value: Column, cuts: Sequence[float], top: int = 4) -> Column:
@@ -296,42 +298,39 @@ def compare_cut_sets(df: DataFrame, by: Sequence[str], value: str, truth: str,
     return evaluate(graded, [*by, "cut_set"], K.GRADES)
 
 
-def optimise_cuts(df: DataFrame, value: str, truth: str, start: Sequence[float], grids: Sequence[Sequence[float]],
-                  passes: int = 1) -> tuple[list[float], float]:
-    """Coordinate search for the cut points with the highest quadratic kappa.
+def optimise_cuts(df: DataFrame, by: Sequence[str], value: str, truth: str, start: Sequence[float],
+                  grids: Sequence[Sequence[float]], passes: int = 1) -> DataFrame:
+    """Coordinate search for the cut points with the highest quadratic kappa, per group: (by, position, cut, quadratic_kappa).
 
-    Rows are reduced once to counts per (truth, interval between grid values): no candidate can tell
-    two values of one interval apart. Each coordinate is then one small job over those counters.
+    Rows are reduced once to counts per (group, truth, interval between grid values): no candidate can tell
+    two values of one interval apart. The search of a group then looks at its counters alone.
     """
+    by = list(by)
     edges = sorted({round(v, 6) for grid in grids for v in grid} | set(start))
     passed = total([(F.col(value) > e).cast("int") for e in edges])
-    counters = df.groupBy(F.col(truth).alias("t"), passed.alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    table = counters.collect()  # at most grades x (grid values + 1) rows
-    spark = df.sparkSession
-    counts = spark.createDataFrame(table, counters.schema)
-
-    def kappas(candidates: list[list[float]]) -> list[float]:
-        rows = [F.struct(F.lit(i).alias("cand"),
-                         F.least(total([(F.col("e") > edges.index(c)).cast("int") for c in cuts]), F.lit(4)).alias("p"))
-                for i, cuts in enumerate(candidates)]
-        long = counts.select("t", "n", F.inline(F.array(*rows)))
-        t, p, n = F.col("t"), F.col("p"), F.col("n")
-        moments = long.groupBy("cand").agg(
-            F.sum((t - p) * (t - p) * n).alias("square_error"), F.sum((t * t + p * p) * n).alias("squares"),
-            F.sum(t * n).alias("sum_true"), F.sum(p * n).alias("sum_pred"), F.sum(n).alias("n_known"))
-        scored = moments.select("cand", quadratic_kappa().alias("k")).collect()
-        by_candidate = {row["cand"]: row["k"] for row in scored}
-        return [by_candidate[i] if by_candidate[i] is not None else float("-inf") for i in range(len(candidates))]
-
-    best = list(start)
-    best_score = kappas([best])[0]
-    for _ in range(passes):
-        for position, grid in enumerate(grids):
-            candidates = [[*best[:position], round(v, 6), *best[position + 1:]] for v in grid]
-            candidates = [c for c in candidates if all(a < b for a, b in zip(c, c[1:]))]
-            if not candidates:
-                continue
-            for candidate, score in zip(candidates, kappas(candidates)):
-                if score > best_score:
-                    best, best_score = candidate, score
-    return best, best_score
+    counters = df.filter(F.col(truth).isNotNull()).groupBy(*by, F.col(truth).cast("int").alias("t"), passed.alias("e")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        t, e, n = (rows[c].to_numpy(dtype=float) for c in ("t", "e", "n"))
+
+        def kappa(cuts: Sequence[float]) -> float:
+            p = np.minimum(sum((e > edges.index(c)).astype(float) for c in cuts), 4)
+            apart = ((t - p) ** 2 * n).sum()
+            chance = ((t * t + p * p) * n).sum() - 2 * (t * n).sum() * (p * n).sum() / n.sum()
+            return 1 - apart / chance if chance else float("-inf")
+
+        best = list(start)
+        best_score = kappa(best)
+        for position, grid in [(i, g) for _ in range(passes) for i, g in enumerate(grids)]:
+            for v in grid:
+                cuts = [*best[:position], round(v, 6), *best[position + 1:]]
+                if all(a < b for a, b in zip(cuts, cuts[1:])) and (score := kappa(cuts)) > best_score:
+                    best, best_score = cuts, score
+        out = pd.DataFrame({"position": range(len(best)), "cut": best, "quadratic_kappa": best_score})
+        for name in reversed(by):
+            out.insert(0, name, rows[name].iloc[0])
+        return out
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counters.schema.fields if f.name in by)
+    return counters.groupBy(*by).applyInPandas(search, f"{kinds}position int, cut double, quadratic_kappa double")

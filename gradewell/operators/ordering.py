@@ -2,7 +2,7 @@
 
 A window over a grade, a model or a source would send a third of all rows to one task. Both
 orders used here are cut into buckets first: a hash order by the leading hex digits of the hash
-(uniform by construction), a value order by the quantiles of the values of each group. Counts per
+(uniform by construction), a value order by ranges of the distinct values. Counts per
 bucket give the offset of a bucket; only rows inside one bucket are sorted together.
 """
 
@@ -13,13 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.session import settle
+from gradewell.session import settle, store
 
 HASH_DIGITS = 3
-BOUNDS = 255
 WHOLE = "_whole"
 
 
+def match(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` where NULL meets NULL, as grouping does; the columns of ``by`` come from ``left``."""
+    if not by:
+        return left.crossJoin(right)
+    renamed = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return left.join(renamed, same, how).drop(*[f"_of_{c}" for c in by])
+
+
 def hash_order(seed: int, *keys: str) -> Column:
     """Engine-independent random order: md5 of the seed and the key columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -33,7 +41,7 @@ def hash_ranked(df: DataFrame, strata: Sequence[str], key: str, seed: int, digit
     offsets = settle(sizes.select(*strata, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_hash", key)
     return (
-        hashed.join(offsets, [*strata, "_bucket"])
+        match(hashed, offsets, [*strata, "_bucket"])
         .withColumn("hash_rank", F.col("_offset") + F.row_number().over(inside))
         .drop("_hash", "_bucket", "_offset")
     )
@@ -68,14 +76,14 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     edges = sizes.select(*strata, "_bucket", "_n", F.sum("_n").over(run).alias("_end"))
     hit = (
-        edges.join(targets, strata)
+        match(edges, targets, strata)
         .filter((F.col("upto") <= F.col("_end")) & (F.col("upto") > F.col("_end") - F.col("_n")))
         .select(*strata, "_bucket", "cut", (F.col("upto") - F.col("_end") + F.col("_n")).alias("_position"))
     )
     hit = settle(hit)
     order = Window.partitionBy(*strata, "cut").orderBy("_hash", key)
     found = (
-        slim.join(hit, [*strata, "_bucket"])
+        match(slim, hit, [*strata, "_bucket"])
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == F.col("_position"))
         .select(*strata, "cut", F.col("_hash").alias("h"), F.col(key).alias("k"))
@@ -83,7 +91,7 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, targets
     # A rank of 0 lies before every row ("" sorts first), a rank beyond the stratum after every row.
     totals = sizes.groupBy(*strata).agg(F.sum("_n").alias("_total"))
     filled = (
-        targets.join(totals, strata).join(found, [*strata, "cut"], "left")
+        match(match(targets, totals, strata), found, [*strata, "cut"], "left")
         .withColumn("h", F.when(F.col("upto") <= 0, "").when(F.col("upto") > F.col("_total"), "~").otherwise(F.col("h")))
     )
     return settle(
@@ -102,37 +110,25 @@ def apply_cuts(df: DataFrame, strata: Sequence[str], key: str, seed: int, cuts:
     """Number of cuts passed by each row, given the arrays of :func:`hash_cuts`."""
     here = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
     passed = F.filter("_cuts", lambda c: F.struct(c["h"], c["k"]) < here)
-    return df.join(cuts, list(strata)).withColumn(column, F.size(passed)).drop("_cuts", WHOLE)
-
-
-def bucket_of(bounds: Column, value: Column) -> Column:
-    """Number of bounds below ``value``: a branchless binary search in a sorted array of 255."""
-    steps = F.array(*[F.lit(1 << p) for p in reversed(range(8))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: at + F.when(F.element_at(bounds, at + step) < value, step).otherwise(0),
-    )
+    return match(df, cuts, strata).withColumn(column, F.size(passed)).drop("_cuts", WHOLE)
 
 
 def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """One row per group and distinct value with the sum of each measure and its sum over lower values.
 
-    ``df`` may hold many rows per value; they are summed first (map side). Output columns: the group,
-    the value, each measure, and ``<measure>_below``.
+    ``df`` may hold many rows per value; they are summed first (map side) and stored. The distinct values are then
+    cut into ranges, as many as there are partitions, however the groups share them; sums per range are
+    carried to the next ranges of the group. Output columns: the group, the value, each measure, and
+    ``<measure>_below``. NULL is a group and a value like any other, the lowest.
     """
     by = list(by)
-    distinct = df.groupBy(*by, value).agg(*[F.sum(m).alias(m) for m in measures])
-    probabilities = [(i + 1) / (BOUNDS + 1) for i in range(BOUNDS)]
-    bounds = settle(distinct.groupBy(*by).agg(F.percentile_approx(value, probabilities, 10_000).alias("_bounds")))
-    placed = (
-        distinct.join(bounds, by).withColumn("_bucket", bucket_of(F.col("_bounds"), F.col(value))).drop("_bounds")
-    )
-    per_bucket = placed.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(per_bucket.select(
-        *by, "_bucket", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}") for m in measures]))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, [*by, "_bucket"]).select(
+    distinct = store(df.groupBy(*by, value).agg(*[F.sum(m).alias(m) for m in measures]))
+    placed = store(distinct.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = placed.groupBy(*by, "_range").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = per_range.select(*by, "_range", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}") for m in measures])
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return match(placed, offsets, [*by, "_range"]).select(
         *by, value, *measures,
         *[(F.col(f"_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_below") for m in measures],
     )
@@ -141,12 +137,10 @@ def cumulative_by_value(df: DataFrame, by: Sequence[str], value: str, measures:
 def global_rank(df: DataFrame, order: str) -> DataFrame:
     """Add ``rank``: the 1-based position in the order of one column over the whole table.
 
-    Rows are range-partitioned by the column and checkpointed, so that both passes (rows per partition,
+    Rows are range-partitioned by the column and stored, so that both passes (rows per partition,
     then positions inside a partition) see the same partitions.
     """
-    from gradewell.session import materialize
-
-    placed = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    placed = store(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     before = Window.partitionBy().orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     offsets = settle(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from gradewell import constants as K
 from gradewell.functions.numeric import finite
+from gradewell.operators.ordering import cumulative_by_value
 from gradewell.session import settle
 
 QUANTILE_ACCURACY = 10_000
-SMALL_ROWS = 200_000
 
 
 def feature_rows(aggregated: DataFrame, by: Sequence[str], features: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -53,21 +53,13 @@ def column_profile(df: DataFrame, features: Sequence[str], by: Sequence[str] = (
         F.when(n > 1, F.col("var_pop") * n / (n - 1)).alias("var_samp"))
 
 
-def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float],
-                    small_rows: int = SMALL_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (feature, q, value); NULLs are ignored.
 
     ``percentile`` would gather every distinct value of a column in one task. Here approximate
     quantiles with a known rank error bracket each answer, and only values inside the brackets
     (about 1/2000 of the rows per quantile) are counted and ordered. A column without values gives NULL.
-    Tables of at most ``small_rows`` rows take the one-pass form, whose buffers that number bounds.
     """
-    if df.count() <= small_rows:
-        points = F.array(*[F.lit(float(q)) for q in probabilities])
-        found = df.agg(*[F.percentile(finite(F.col(f).cast("double")), points).alias(f) for f in features])
-        return found.select(F.inline(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.col(f"`{f}`")[i].alias("value"))
-            for f in features for i, q in enumerate(probabilities)])))
     margin = 2.0 / QUANTILE_ACCURACY
     aggregates = []
     for f in features:
@@ -106,11 +98,11 @@ def exact_quantiles(df: DataFrame, features: Sequence[str], probabilities: Seque
         for (f, i), (lo, _) in bounds.items() if lo is not None])))
     values = (
         df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("x"))
-        .groupBy("x.feature", "x.qi", "x.v").agg(F.count(F.lit(1)).alias("m"))
+        .select("x.feature", "x.qi", "x.v", F.lit(1).cast("bigint").alias("m"))
     )
     table = brackets.join(F.broadcast(edges), ["feature", "qi"], "left")
-    running = Window.partitionBy("feature", "qi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("upto", F.sum("m").over(running)).join(F.broadcast(table), ["feature", "qi"])
+    counted_values = cumulative_by_value(values, ["feature", "qi"], "v", ["m"])
+    ranked = counted_values.withColumn("upto", F.col("m_below") + F.col("m")).join(F.broadcast(table), ["feature", "qi"])
     position = F.col("q") * (F.col("n") - 1)
 
     def at(rank: Column) -> Column:
@@ -140,11 +132,10 @@ def fill_medians(df: DataFrame, features: Sequence[str], fitted: DataFrame) -> D
 
 
 def dominant_shares(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Most frequent value per feature and its share of the non-missing rows, where that share exceeds one half.
+    """Share of the most frequent value per feature among its non-missing rows; NULL where no value has over half of them.
 
     A value held by more than half of the rows is also the median, up to the error of the
-    approximation; counting that one candidate gives its exact share. Without such a value the share
-    is reported for the candidate only and stays below the cuts used here (0.95 and more).
+    approximation; counting that one candidate gives its exact share.
     """
     candidates = df.agg(*[
         F.percentile_approx(finite(F.col(f).cast("double")), 0.5, QUANTILE_ACCURACY).alias(f) for f in features]).first()
@@ -153,7 +144,8 @@ def dominant_shares(df: DataFrame, features: Sequence[str]) -> DataFrame:
         else F.lit(0).cast("bigint").alias(f"{f}__top") for f in features
     ], *[F.count(finite(F.col(f).cast("double"))).alias(f"{f}__n") for f in features])
     long = feature_rows(counted, [], features, ["top", "n"])
-    return long.select("feature", F.when(F.col("n") > 0, F.col("top") / F.col("n")).otherwise(1.0).alias("top_share"))
+    share = F.when(F.col("n") > 0, F.col("top") / F.col("n")).otherwise(1.0)
+    return long.select("feature", F.when(share > 0.5, share).alias("top_share"))
 
 
 def distinct_ratio(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -187,7 +179,7 @@ def filled_audit(df: DataFrame, features: Sequence[str], variance_floor: float =
     profile = column_profile(filled, features).select("feature", "minimum", "maximum", "var_samp")
     joined = profile.join(F.broadcast(dominant_shares(filled, features)), "feature")
     constant = F.coalesce(F.col("minimum") == F.col("maximum"), F.lit(True))
-    near = ~constant & ((F.col("var_samp") <= variance_floor) | (F.col("top_share") >= share))
+    near = ~constant & ((F.col("var_samp") <= variance_floor) | F.coalesce(F.col("top_share") >= share, F.lit(False)))
     return joined.select("feature", F.col("var_samp").alias("variance"), constant.alias("is_constant"),
                          near.alias("near_constant"))
 
@@ -406,7 +398,10 @@ def distribution_shape(df: DataFrame, features: Sequence[str], bins: int = 16) -
 
 
 def duplicate_columns(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
-    """Pairs of columns with identical values: equal checksums first, then verified cell by cell."""
+    """Columns with values identical to an earlier one: equal checksums first, then verified cell by cell.
+
+    ``duplicate_of`` is the first column of the group.
+    """
     sums = df.agg(*[F.sum(F.xxhash64(F.col(key), F.coalesce(F.col(f).cast("double"), F.lit(float("nan")))).cast("decimal(38,0)"))
                     .alias(f) for f in features]).first()
     groups: dict[object, list[str]] = {}
@@ -422,30 +417,35 @@ def duplicate_columns(df: DataFrame, features: Sequence[str], key: str) -> DataF
     return checks.select(F.inline(F.array(*rows))).filter("_d = 0").drop("_d")
 
 
-def version_audit(df: DataFrame, versions: dict[str, Sequence[str]], key: str, max_features: int = 400) -> DataFrame:
-    """Definition 3, one row per feature version: missing cells, constant, flat, duplicate and correlated columns."""
+def version_audit(df: DataFrame, versions: dict[str, Sequence[str]], key: str) -> DataFrame:
+    """Definition 3, one row per feature version: missing cells, constant, flat, duplicate and correlated columns.
+
+    Profile, duplicate groups and correlated pairs are found once for the union of the columns and then counted per
+    version. Of a group of equal columns a version holds, all but one are duplicates, whichever those are.
+    """
     features = sorted({f for columns in versions.values() for f in columns})
+    members = df.sparkSession.createDataFrame(
+        [(v, f) for v, columns in versions.items() for f in dict.fromkeys(columns)], "feature_version string, feature string")
     profile = settle(column_profile(df, features))
     copies = settle(duplicate_columns(df, features, key))
-    out = None
-    for version, columns in versions.items():
-        part = profile.filter(F.col("feature").isin(*columns))
-        has_value = F.col("minimum") == F.col("maximum")
-        stats = part.agg(
-            F.lit(version).alias("feature_version"), F.count(F.lit(1)).alias("feature_count"),
-            F.sum(F.col("n_null") + F.col("n_nan") + F.col("n_inf")).alias("missing_cells"),
-            # A column of one value and some gaps has two distinct values here: gaps count as one.
-            F.count_if((has_value & (F.col("n") == F.col("n_rows"))) | (F.col("n") == 0)).alias("constant_features"),
-            F.count_if(F.sqrt("var_samp") < 1e-8).alias("near_constant_features"))
-        copied = copies.filter(F.col("feature").isin(*columns) & F.col("duplicate_of").isin(*columns)).agg(
-            F.count(F.lit(1)).alias("duplicate_features"))
-        if len(columns) > max_features:
-            high = df.sparkSession.createDataFrame([(-1,)], "correlated_pairs bigint")
-        else:
-            high = pairwise_pearson(df, columns).agg(F.count_if(F.col("correlation") > 0.995).alias("correlated_pairs"))
-        row = stats.crossJoin(F.broadcast(copied)).crossJoin(F.broadcast(high))
-        out = row if out is None else out.unionByName(row)
-    return out
+    high = settle(pairwise_pearson(df, features).filter(F.col("correlation") > 0.995).select("feature_a", "feature_b"))
+    has_value = F.col("minimum") == F.col("maximum")
+    stats = members.join(profile, "feature").groupBy("feature_version").agg(
+        F.count(F.lit(1)).alias("feature_count"),
+        F.sum(F.col("n_null") + F.col("n_nan") + F.col("n_inf")).alias("missing_cells"),
+        # A column of one value and some gaps has two distinct values here: gaps count as one.
+        F.count_if((has_value & (F.col("n") == F.col("n_rows"))) | (F.col("n") == 0)).alias("constant_features"),
+        F.count_if(F.sqrt("var_samp") < 1e-8).alias("near_constant_features"))
+    grouped = copies.select("feature", F.col("duplicate_of").alias("group")).unionByName(
+        copies.select(F.col("duplicate_of").alias("feature"), F.col("duplicate_of").alias("group")).distinct())
+    copied = members.join(grouped, "feature").groupBy("feature_version", "group").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy(
+        "feature_version").agg(F.sum("n").alias("duplicate_features"))
+    left = members.select("feature_version", F.col("feature").alias("feature_a"))
+    right = members.select("feature_version", F.col("feature").alias("feature_b"))
+    correlated = high.join(left, "feature_a").join(right, ["feature_version", "feature_b"]).groupBy("feature_version").agg(
+        F.count(F.lit(1)).alias("correlated_pairs"))
+    return stats.join(copied, "feature_version", "left").join(correlated, "feature_version", "left").na.fill(
+        0, ["duplicate_features", "correlated_pairs"])
 
 
 # -- distributions over classes ----------------------------------------------------------------

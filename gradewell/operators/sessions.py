@@ -53,6 +53,13 @@ def guard_sizes(images: DataFrame, by: Sequence[str], limit: int = MAX_IMAGES) -
     return images.join(rejected, list(by), "left_anti"), rejected
 
 
+def distinct_content(events: DataFrame, digest: str, order: str) -> DataFrame:
+    """The first row, by ``order``, of every content id (the leading 16 digits of the digest); copies combine on the map side."""
+    marked = events.withColumn("content_id", F.substring(digest, 1, 16))
+    first = marked.groupBy("content_id").agg(F.min_by(F.struct(*events.columns), order).alias("_row"))
+    return first.select("content_id", "_row.*")
+
+
 def gap_sessions(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
     """Batch session windows: (user, start, end, n); end is the last event plus the gap."""
     windowed = events.groupBy(user, F.session_window(F.col(time), f"{gap_seconds} seconds").alias("w"))

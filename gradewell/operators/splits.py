@@ -154,15 +154,16 @@ def confidence_interval(metrics: DataFrame, by: Sequence[str], names: Sequence[s
 
 
 def class_weights(df: DataFrame, label: str, classes: int | None = None) -> DataFrame:
-    """Balanced weight n / (k * n_c) per class; k is the number of classes present unless given."""
-    counts = stratum_counts(df, [label])
+    """Balanced weight n / (k * n_c) per class that is not NULL; k is the number of classes present unless given."""
+    counts = stratum_counts(df.filter(F.col(label).isNotNull()), [label])
     total = F.sum("n").over(Window.partitionBy())
     k = F.lit(classes) if classes else F.count(F.lit(1)).over(Window.partitionBy())
     return counts.select(label, "n", (total / (k * F.col("n"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, classes: int | None = None) -> DataFrame:
-    return df.join(settle(class_weights(df, label, classes).select(label, "weight")), label)
+    """Every row with the weight of its class; rows without a label keep a NULL weight."""
+    return df.join(settle(class_weights(df, label, classes).select(label, "weight")), label, "left")
 
 
 def positive_weight(df: DataFrame, positive: Column) -> DataFrame:

@@ -126,7 +126,7 @@ def selection_candidates(fx):
 def selection(fx):
     candidates, current = selection_candidates(fx)
     counts = {r["label"]: r["count"] for r in candidates.groupBy("label").count().collect()}
-    priority = sorted(counts)[:3]
+    priority = sorted(counts)
     needed = {label: counts[label] * 2 // 5 for label in priority}
     return G.governed_selection(candidates, current, needed, priority, [F.col("doc_id") % 3, F.col("doc_id")], k=2, bits=63)
 

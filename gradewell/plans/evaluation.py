@@ -325,9 +325,8 @@ SEARCH_GRIDS = [[0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], [1.1, 1.2, 1.3, 1.4, 1
 
 @query("h20_optimised_cuts")
 def optimised_cuts(fx):
-    graded = fx.preds.filter("model = 'm1'").select("y_true", (F.col("score") * 4).alias("value"))
-    cuts, score = M.optimise_cuts(graded, "value", "y_true", K.CUTS_ADJUSTED, SEARCH_GRIDS, passes=2)
-    return fx.spark.createDataFrame([(i, c, score) for i, c in enumerate(cuts)], "position int, cut double, quadratic_kappa double")
+    graded = fx.preds.select("model", "y_true", (F.col("score") * 4).alias("value"))
+    return tidy(M.optimise_cuts(graded, ["model"], "value", "y_true", K.CUTS_ADJUSTED, SEARCH_GRIDS, passes=2))
 
 
 CUT_SETS = {"default": K.CUTS_DEFAULT, "adjusted": K.CUTS_ADJUSTED, "regression": K.CUTS_REGRESSION}

@@ -270,10 +270,11 @@ def trial_params(fx):
 
 
 @query("b28_params_json", "", """
-select event_id, regexp_extract(props,'[0-9]+',0) as k, case when props is null then 0 else 1 end as n_keys from events""")
+select event_id, json_keys(props)[i] as name, json_extract_string(props, '$.' || json_keys(props)[i]) as value, len(json_keys(props)) as n_keys
+from (select event_id, props, unnest(range(1, len(json_keys(props)) + 1)) as i from events)""")
 def params_json(fx):
     parsed = I.parse_params(fx.table("events"), "props")
-    return parsed.select("event_id", F.element_at(F.map_values("params"), 1).alias("k"), F.size("params").alias("n_keys"))
+    return parsed.select("event_id", F.explode("params").alias("name", "value"), F.size("params").cast("bigint").alias("n_keys"))
 
 
 @query("b29_report_shares", "feats", """

@@ -150,10 +150,10 @@ def stacking(fx):
 
 @query("m14_calibration")
 def calibration(fx):
-    rows = materialize(fx.preds.filter("model = 'm1'").select("row_id", "score", "y_true"))
-    table = S.stratified_split(rows, ["y_true"], "row_id", 0.3, 0.5)
+    rows = materialize(fx.preds.select("model", "row_id", "score", "y_true"))
+    table = materialize(S.stratified_split(rows, ["model", "y_true"], "row_id", 0.3, 0.5))
     y = F.col("y_true") >= K.POSITIVE_MIN_GRADE
-    return tidy(T.calibration_table(table.filter("split = 'val'"), table.filter("split = 'test'"), "score", y))
+    return tidy(T.calibration_tables(table.filter("split = 'val'"), table.filter("split = 'test'"), "score", y))
 
 
 @query("m17_native_importance")

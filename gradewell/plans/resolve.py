@@ -119,11 +119,11 @@ def parameter_grid(fx):
 
 
 @query("c11_union_sources", "feats files", """
-select row_id::varchar as id, source, label, null::varchar as sha from feats where qty_max>49
+select row_id::varchar as id, source, label, null::varchar as sha from feats
 union all select doc_id::varchar, source, null, sha from files""")
 def union_sources(fx):
     from gradewell.sources.sinks import union_reports
-    a = fx.feats.filter("qty_max > 49").select(F.col("row_id").cast("string").alias("id"), "source", "label")
+    a = fx.feats.select(F.col("row_id").cast("string").alias("id"), "source", "label")
     b = fx.files.select(F.col("doc_id").cast("string").alias("id"), "source", "sha")
     return union_reports([a, b])
 

@@ -54,7 +54,7 @@ def rejected_sessions(fx):
 
 @query("s04_content_ids", "files", "select content_id, first_doc from (select left(sha,16) as content_id, min(doc_id) as first_doc from files group by 1)")
 def content_ids(fx):
-    return fx.files.groupBy(F.substring("sha", 1, 16).alias("content_id")).agg(F.min("doc_id").alias("first_doc"))
+    return S.distinct_content(fx.files, "sha", "doc_id").select("content_id", F.col("doc_id").alias("first_doc"))
 
 
 @query("s05_gap_sessions", "", """
@@ -80,11 +80,11 @@ def feedback_sliding(fx):
 
 
 @query("s06_feedback_from_json", "", """
-select date_trunc('day', ts)::timestamp as start, regexp_extract(props,'"([a-z_]+)"',1) as warning, count(*) as n from events where event_type='purchase' group by all""")
+select date_trunc('day', ts)::timestamp as start, warning, count(*) as n from (select ts, unnest(json_keys(props)) as warning from events where event_type='purchase') group by all""")
 def feedback_from_json(fx):
     """Payload keys of the JSON events stand in for the warnings of a feedback document."""
     keys = F.map_keys(F.from_json("props", "map<string,string>"))
-    rows = fx.table("events").filter("event_type = 'purchase'").select("ts", F.slice(keys, 1, 1).alias("warnings"))
+    rows = fx.table("events").filter("event_type = 'purchase'").select("ts", keys.alias("warnings"))
     return S.warning_counts(rows, "ts", "warnings", "1 day")
 
 

@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_TABLE_ROWS = 200_000
 
 
 def build_session(app_name: str = "gradewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,26 +53,15 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read the same rows even when executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Fix a table that several later stages read: they see the same rows even when executors are lost."""
+    return store(df)
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Fix a table that is expected to be small (cut points, offsets, totals per group).
 
-    Up to ``max_rows`` rows it becomes a local relation marked for broadcast, so the broadcast
-    size is proven, not assumed. A larger table is checkpointed and left unhinted: joins to it
-    then shuffle, which is slower but exact.
+    Written once, so Spark knows its size in bytes: joins broadcast it while it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffle beyond that, without a hint.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return materialize(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return store(df)
