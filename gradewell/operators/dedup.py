@@ -49,15 +49,16 @@ def conflicting_vectors(df: DataFrame, features: Sequence[str], label: str = "la
     ).filter("n_labels > 1").drop("_digest")
 
 
-def duplicate_members(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def duplicate_members(df: DataFrame, features: Sequence[str], salts: int = 16) -> DataFrame:
     """Every row of a vector that occurs more than once, with the size of its group.
 
-    Sizes are counted first (with map-side combine); only repeated digests are joined back, as a
-    semi-join-like lookup that adaptive execution splits when one digest is hot.
+    Sizes are counted first (with map-side combine); only repeated digests are joined back. Rows of one digest are
+    dealt over ``salts`` tasks, each of which gets a copy of the one row with the size.
     """
-    keyed = df.withColumn("_digest", vector_digest(features))
+    keyed = df.withColumn("_digest", vector_digest(features)).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     sizes = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    return keyed.join(sizes, "_digest").drop("_digest")
+    copied = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return keyed.join(copied, ["_digest", "_salt"]).drop("_digest", "_salt")
 
 
 def duplicate_report(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:

@@ -74,14 +74,14 @@ def _kernel(batches: Iterator[pd.DataFrame], colour: bool) -> Iterator[pd.DataFr
                     raise ValueError("the image could not be decoded")
                 pixels = np.frombuffer(data, dtype="uint8").reshape(height, width, channels)
                 image = grey(pixels)
-                row += [True, None, laplacian_variance(image), float(image.mean()), float(image.std()), difference_hash(image)]
+                row += [int(width), int(height), True, None, laplacian_variance(image), float(image.mean()), float(image.std()), difference_hash(image)]
                 if colour:
                     for c in range(3):
                         row += channel_statistics(pixels[:, :, min(c, channels - 1)])
             except ValueError as error:
-                row = [path, False, str(error), 0.0, 0.0, 0.0, -1] + ([None] * (3 * len(CHANNEL_STATS)) if colour else [])
+                row = [path, max(int(width or 0), 0), max(int(height or 0), 0), False, str(error), 0.0, 0.0, 0.0, -1] + ([None] * (3 * len(CHANNEL_STATS)) if colour else [])
             rows.append(row)
-        names = ["path", "ok", "error", "blur_score", "brightness_mean", "contrast_std", "dhash"]
+        names = ["path", "width", "height", "ok", "error", "blur_score", "brightness_mean", "contrast_std", "dhash"]
         if colour:
             names += [f"{c}_{s}" for c in CHANNELS for s in CHANNEL_STATS]
         yield pd.DataFrame(rows, columns=names)
@@ -93,15 +93,14 @@ def image_metrics(images: DataFrame, colour: bool = False) -> DataFrame:
     Unreadable images keep a row with zero metrics and hash -1; that value is also a legal hash, so
     they must be gated before hashes are compared.
     """
-    schema = "path string, ok boolean, error string, " + METRICS + (", " + COLOUR if colour else "")
+    schema = "path string, width int, height int, ok boolean, error string, " + METRICS + (", " + COLOUR if colour else "")
     columns = images.select("path", "readable", "width", "height", "channels", "data")
     return columns.mapInPandas(lambda batches: _kernel(batches, colour), schema)
 
 
 def quality_table(images: DataFrame) -> DataFrame:
-    """Image metrics with size, flags, status and the pass decision of the simple gate."""
-    sizes = images.select("path", "readable", F.greatest("width", F.lit(0)).alias("width"), F.greatest("height", F.lit(0)).alias("height"))
-    table = sizes.join(image_metrics(images), "path")
+    """Image metrics with size, flags, status and the pass decision of the simple gate; every image is decoded once."""
+    table = image_metrics(images).withColumn("readable", F.col("ok"))
     flags = simple_flags(F.col("width"), F.col("height"), F.col("blur_score"), F.col("brightness_mean"), F.col("contrast_std"))
     tiny = ~F.col("readable") | (F.col("width") < 200) | (F.col("height") < 200)
     return table.withColumns({

@@ -6,9 +6,9 @@ equi-join and verified; a pair is emitted only under its first common key, so no
 distinct afterwards.
 
 Copies of one fingerprint are collapsed before the join: the result has one row per pair of distinct
-fingerprints with the number of rows behind each. Keys shared by very many fingerprints are not
-joined with themselves; their members look their neighbours up by value instead (every fingerprint
-with up to k bits flipped), which is linear in the members.
+fingerprints with the number of rows behind each. Keys shared by very many fingerprints are split
+further: the bits such a key leaves open are cut into blocks again, of which a near pair must agree on all
+but k. That holds for every k and drops nothing.
 """
 
 from __future__ import annotations
@@ -19,28 +19,41 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.session import materialize
+from gradewell.session import store
 
 HOT_KEY = 4096
-MAX_FLIPS = 5000
 
 
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def leave_out(bits: Sequence[int], k: int, blocks: int) -> list[int]:
+    """One mask of the kept bits per way of leaving out k of the blocks."""
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[edges[i]:edges[i + 1]]) for i in range(blocks)]
+    return [sum(parts[i] for i in range(blocks) if i not in dropped) for dropped in combinations(range(blocks), k)]
+
+
 def key_masks(bits: int, k: int, blocks: int | None = None) -> list[int]:
     """One mask per way of leaving out k of the blocks. More blocks make fewer, longer common keys."""
     blocks = blocks or (5 if k == 2 else k + 1)
     if not k < blocks <= bits:
         raise ValueError("the number of blocks must lie between the distance and the number of bits")
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    return [signed(sum(parts[i] for i in range(blocks) if i not in dropped)) for dropped in combinations(range(blocks), k)]
+    return [signed(m) for m in leave_out(range(bits), k, blocks)]
+
+
+def split_masks(bits: int, k: int, mask: int) -> list[int]:
+    """Longer keys for one key mask: its own bits and all but k blocks of the others."""
+    open_bits = [b for b in range(bits) if not mask >> b & 1]
+    blocks = min(len(open_bits), 5 if k == 2 else k + 2 if k < 6 else k + 1)
+    if blocks <= k:
+        return [mask]
+    return [signed(m | mask & ((1 << 64) - 1)) for m in leave_out(open_bits, k, blocks)]
 
 
-def flip_masks(bits: int, k: int) -> list[int]:
-    return [signed(sum(1 << b for b in chosen)) for n in range(1, k + 1) for chosen in combinations(range(bits), n)]
+def mask_array(masks: Sequence[int]) -> str:
+    return "array(" + ",".join(f"{m}L" if m > -(1 << 63) else "(-9223372036854775807L - 1L)" for m in masks) + ")"
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -52,39 +65,33 @@ def near_pairs(df: DataFrame, by: Sequence[str], fingerprint: str, k: int = 2, b
     """(by, fp_a, fp_b, distance, n_a, n_b) for distinct fingerprints fp_a < fp_b of one group."""
     by = list(by)
     masks = key_masks(bits, k, blocks)
-    # Read three times below: written once, so that fingerprints are not computed again from their source.
-    counted = materialize(df.groupBy(*by, F.col(fingerprint).alias("fp")).agg(F.count(F.lit(1)).alias("n")))
-    keys = F.array(*[F.struct(F.lit(i).alias("key_no"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key"))
-                     for i, m in enumerate(masks)])
-    keyed = counted.select(*by, "fp", "n", F.inline(keys))
+    finer = [split_masks(bits, k, m) for m in masks]
+    # Read several times below: written once, so that fingerprints are not computed again from their source.
+    counted = store(df.groupBy(*by, F.col(fingerprint).alias("fp")).agg(F.count(F.lit(1)).alias("n")))
+    keyed = counted.select(*by, "fp", "n", F.posexplode(F.expr(f"transform({mask_array(masks)}, m -> fp & m)")).alias("key_no", "key"))
     common = [*by, "key_no", "key"]
-    hot = keyed.groupBy(*common).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_key).drop("_size")
-    has_hot = not hot.isEmpty() and len(flip_masks(bits, min(k, 2))) <= MAX_FLIPS and k <= 2
-    cold = keyed.join(hot, common, "left_anti") if has_hot else keyed
-
-    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    mask_array = F.array(*[F.lit(m).cast("bigint") for m in masks])
-    first_key = F.array_position(F.transform(mask_array, lambda m: apart.bitwiseAND(m) == 0), True) - 1
-    left = cold.select(*common, F.col("fp").alias("fp_a"), F.col("n").alias("n_a"))
-    right = cold.select(*common, F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
-    near = F.bit_count(apart)
-    pairs = (
-        left.join(right, common).filter((F.col("fp_a") < F.col("fp_b")) & (near <= k))
-        .filter(first_key == F.col("key_no"))
-        .select(*by, "fp_a", "fp_b", near.alias("distance"), "n_a", "n_b")
-    )
-    if not has_hot:
-        return pairs
-
-    # Members of hot keys: neighbours by value. A pair belongs here when its first common key is hot.
-    members = keyed.join(hot, common, "left_semi").select(*by, "fp", "n").distinct()
-    flips = F.array(*[F.lit(m).cast("bigint") for m in flip_masks(bits, k)])
-    asked = members.select(*by, F.col("fp").alias("fp_a"), F.col("n").alias("n_a"),
-                           F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("fp_b"))
-    met = asked.filter("fp_a < fp_b").join(members.select(*by, F.col("fp").alias("fp_b"), F.col("n").alias("n_b")), [*by, "fp_b"])
-    met = met.withColumn("key_no", first_key.cast("int"))
-    met = met.withColumn("key", F.col("fp_a").bitwiseAND(mask_array[F.col("key_no")])).join(hot, common, "left_semi")
-    return pairs.unionByName(met.select(*by, "fp_a", "fp_b", F.bit_count(apart).alias("distance"), "n_a", "n_b"))
+    hot = store(keyed.groupBy(*common).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_key).drop("_size"))
+    cold = keyed.join(hot, common, "left_anti")
+    sub_keys = "case key_no " + " ".join(f"when {i} then {mask_array(f)}" for i, f in enumerate(finer)) + " end"
+    split = keyed.join(hot, common, "left_semi").select(
+        *by, "key_no", "fp", "n", F.posexplode(F.expr(f"transform({sub_keys}, m -> fp & m)")).alias("sub_no", "sub_key"))
+
+    def first_of(array: str) -> Column:
+        """Number of the first mask under which the two agree."""
+        return F.expr(f"array_position(transform({array}, m -> (fp_a ^ fp_b) & m = 0), true) - 1")
+
+    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+
+    def joined(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+        left = rows.select(*on, F.col("fp").alias("fp_a"), F.col("n").alias("n_a"))
+        right = rows.select(*on, F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
+        return left.join(right, list(on)).filter((F.col("fp_a") < F.col("fp_b")) & (near <= k)).filter(
+            first_of(mask_array(masks)) == F.col("key_no"))
+
+    pairs = joined(cold, common)
+    crowded = joined(split, [*by, "key_no", "sub_no", "sub_key"]).filter(first_of(sub_keys) == F.col("sub_no"))
+    names = [*by, "fp_a", "fp_b", near.alias("distance"), "n_a", "n_b"]
+    return pairs.select(*names).unionByName(crowded.select(*names))
 
 
 def near_pair_totals(df: DataFrame, by: Sequence[str], fingerprint: str, k: int = 2, **layout) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -79,17 +79,18 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_pending(df: DataFrame, path: str, key: str, batch: str = "batch") -> int:
-    """Resumable write: only keys missing from the output are computed and appended; returns their number.
+def append_pending(rows: DataFrame, kernel: Callable[[DataFrame], DataFrame], path: str, key: str, batch: str = "batch") -> int:
+    """Resumable write: only rows whose key is missing from the output go through ``kernel`` and are appended; returns their number.
 
-    The commit protocol of the writer takes the place of partial files: a failed attempt leaves nothing.
+    Done keys are taken out before the kernel, so finished work is not done again. The commit protocol of the
+    writer takes the place of partial files: a failed attempt leaves nothing.
     """
-    spark = df.sparkSession
-    done = read_existing(spark, path, df.schema)
-    todo = pending(df, done, key)
-    before = done.count()
-    todo.write.mode("append").partitionBy(batch).parquet(path) if batch in df.columns else todo.write.mode("append").parquet(path)
-    return read_existing(spark, path, df.schema).count() - before
+    done = read_existing(rows.sparkSession, path, kernel(rows.limit(0)).schema)
+    written = Observation()
+    todo = kernel(pending(rows, done, key)).observe(written, F.count(F.lit(1)).alias("n"))
+    writer = todo.write.mode("append")
+    (writer.partitionBy(batch) if batch in todo.columns else writer).parquet(path)
+    return written.get["n"]
 
 
 def split_results(results: DataFrame, ok: str = "ok") -> tuple[DataFrame, DataFrame]:

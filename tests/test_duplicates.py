@@ -21,21 +21,22 @@ def brute_pairs(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot_key", [4096, 2])
-def test_near_pairs_equal_brute_force(spark, hot_key):
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+@pytest.mark.parametrize("hot_key", [4096, 0])
+def test_near_pairs_equal_brute_force(spark, hot_key, k):
     rng = random.Random(7)
     rows = []
     for _ in range(60):
         base = rng.getrandbits(64)
         for _ in range(rng.randint(1, 6)):
             value = base
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, k + 1)):
                 value ^= 1 << rng.randrange(64)
             rows.append((rng.randint(0, 1), value - 2**64 if value >= 2**63 else value))
     table = spark.createDataFrame(rows, "g int, fp long")
-    found = NM.near_pairs(table, ["g"], "fp", k=2, hot_key=hot_key).collect()
+    found = NM.near_pairs(table, ["g"], "fp", k=k, hot_key=hot_key).collect()
     got = [(r["g"], r["fp_a"], r["fp_b"]) for r in found]
-    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 2)
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, k)
 
 
 def test_wide_distance_on_embeddings(spark):

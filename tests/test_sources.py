@@ -89,10 +89,18 @@ def test_difference_hash_of_a_gradient():
 def test_extract_once_resumes_and_splits(spark, gallery, tmp_path):
     scanned = SO.scan_pixels(spark, str(gallery[0]))
     out = str(tmp_path / "metrics")
-    some = image_metrics(scanned.filter(F.col("path").contains("Mild")))
-    assert sinks.append_pending(some, out, "path") == 2
-    assert sinks.append_pending(image_metrics(scanned), out, "path") == 2
-    assert sinks.append_pending(image_metrics(scanned), out, "path") == 0
+    seen = spark.sparkContext.accumulator(0)
+
+    def kernel(rows):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+        return image_metrics(rows.mapInPandas(count, rows.schema))
+
+    assert sinks.append_pending(scanned.filter(F.col("path").contains("Mild")), kernel, out, "path") == 2 and seen.value == 2
+    assert sinks.append_pending(scanned, kernel, out, "path") == 2 and seen.value == 4
+    assert sinks.append_pending(scanned, kernel, out, "path") == 0 and seen.value == 4
     good, bad = sinks.split_results(spark.read.parquet(out))
     assert good.count() == 3 and bad.count() == 1
     sinks.write_failures(bad.select(F.lit("s").alias("source"), F.lit(1).alias("label"), "path", "error"), str(tmp_path / "failures"))
