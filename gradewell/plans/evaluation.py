@@ -165,6 +165,20 @@ def roc_auc(fx):
     return tidy(M.auc(fx.preds, ["model"], "score", positive()))
 
 
+@query("h08_null_models", "preds_gaps", f"with {AUC.replace('from preds', 'from preds_gaps')} select model, n_pos, n_neg, round(auc,6) as auc from aucs")
+def roc_auc_null_models(fx):
+    return tidy(M.auc(fx.preds_gaps, ["model"], "score", positive()))
+
+
+@query("h10_null_models", "preds_gaps", """
+with d as (select model, score, sum((y_true>=2)::int)::bigint as pos, sum((y_true<2)::int)::bigint as neg from preds_gaps group by all),
+w as (select *, sum(pos) over (partition by model order by score desc)::bigint as tp, sum(neg) over (partition by model order by score desc)::bigint as fp,
+  sum(pos) over (partition by model)::double as p, sum(neg) over (partition by model)::double as n from d)
+select model, score, tp, fp, round(tp/p,6) as tpr, round(fp/n,6) as fpr from w""")
+def roc_points_null_models(fx):
+    return tidy(M.roc_points(fx.preds_gaps, ["model"], "score", positive()))
+
+
 @query("h09_macro_auc", "predictions", f"""with {LABELS},
 lng as (select model, k, y_true=k as y, prob[k+1] as p from predictions cross join lab),
 rk as (select model, k, y, rank() over (partition by model,k order by p) + (count(*) over (partition by model,k,p)-1)/2.0::double as r from lng),
@@ -206,6 +220,12 @@ def threshold_sweep(fx):
     return tidy(M.threshold_sweep(fx.preds, ["model"], "score", positive(), K.THRESHOLDS_STUDY))
 
 
+@query("h12_null_models", "preds_gaps", f"""with {swept_sql(K.THRESHOLDS_STUDY, 'preds_gaps')}, {AUC.replace('from preds', 'from preds_gaps')}
+select sweep.model, threshold, {SWEEP_OUT}, false_negatives, false_positives, round(auc,6) as auc from sweep join aucs on sweep.model is not distinct from aucs.model""")
+def sweep_null_models(fx):
+    return tidy(M.threshold_sweep(fx.preds_gaps, ["model"], "score", positive(), K.THRESHOLDS_STUDY))
+
+
 def rule_sql(rule: str, order: str) -> str:
     return (f"select * from (select model, '{rule}' as rule, threshold, recall, f1, balanced_accuracy, false_negatives, "
             f"false_positives, row_number() over (partition by model order by {order}, threshold) as rn from sweep) where rn=1")

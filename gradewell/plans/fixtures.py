@@ -87,6 +87,18 @@ class Fixtures:
         """The feature table written once, for operators that read their input several times."""
         return materialize(self.feats)
 
+    @cached_property
+    def gaps(self) -> DataFrame:
+        """The feature table with labels and sources that are NULL in places."""
+        key = F.col("row_id")
+        return self.feats.withColumns({
+            "label": F.when(key % 10 != 0, F.col("label")), "source": F.when(key % 7 != 0, F.col("source"))})
+
+    @cached_property
+    def preds_gaps(self) -> DataFrame:
+        """Predictions of which a third name no model."""
+        return self.preds.withColumn("model", F.when(F.col("row_id") % 10 >= 3, F.col("model")))
+
     @cached_property
     def measures(self) -> DataFrame:
         """Feature rows with named measurement columns."""
@@ -223,6 +235,11 @@ select o.o_orderkey as row_id, cast(substr(o.o_orderpriority,1,1) as int)-1 as l
   case when mod(o.o_orderkey,13)=0 then null else max(l.l_discount) end as disc_max
 from orders o join lineitem l on l.l_orderkey=o.o_orderkey
 group by o.o_orderkey, o.o_orderpriority, o.o_orderstatus""",
+    "gaps": """
+select * replace (case when mod(row_id,10)=0 then null else label end as label, case when mod(row_id,7)=0 then null else source end as source) from feats""",
+    "preds_gaps": """
+select * replace (case when mod(row_id,10)<3 then null else model end as model) from preds""",
+    "copied": "select *, qty_sum as qty_same, qty_sum as qty_again from feats",
     "measures": f"""
 select row_id, label, n_lines as ma_count, qty_sum as ma_area, price_max as hemorrhage_area, {MEASURE_SELECT} from feats""",
     "preds": """
@@ -263,7 +280,7 @@ from events where event_type='purchase'""",
 select l_orderkey as image_id, l_returnflag as kind, l_quantity as x, cast(l_linenumber as double)*7 as y, l_extendedprice as area
 from lineitem""",
 }
-_NEEDS = {"predictions": ["preds"], "measures": ["feats"]}
+_NEEDS = {"predictions": ["preds"], "measures": ["feats"], "gaps": ["feats"], "copied": ["feats"], "preds_gaps": ["preds"]}
 
 
 def oracle(views: str, body: str) -> str:

@@ -119,7 +119,8 @@ def filled_audit(fx):
     return P.filled_audit(fx.feats_once, FEATURES).withColumn("variance", seven(F.col("variance")))
 
 
-VERSIONS = {"all": FEATURES, "quantities": ["qty_sum", "qty_max", "qty_dup", "n_lines"], "prices": ["price_max", "total", "disc_max"]}
+VERSIONS = {"all": [*FEATURES, "qty_same", "qty_again"], "quantities": ["qty_sum", "qty_max", "qty_dup", "n_lines"],
+            "prices": ["price_max", "total", "disc_max"], "copies": ["qty_same", "qty_again", "tax_max"]}
 
 
 def version_sql(name, columns) -> str:
@@ -127,15 +128,17 @@ def version_sql(name, columns) -> str:
     constant = "+".join(f"(count(distinct {c})+max(({c} is null)::int)<=1)::int" for c in columns)
     flat = "+".join(f"coalesce(stddev_samp({c})<1e-8,false)::int" for c in columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    copies = "+".join(f"(sum(({a} is distinct from {b})::int)=0)::int" for a, b in pairs)
+    # A column is a copy if any earlier one of the version is equal to it.
+    copies = "+".join("(" + " or ".join(f"sum(({a} is distinct from {b})::int)=0" for a in columns[:i]) + ")::int" for i, b in enumerate(columns) if i)
     high = "+".join(f"coalesce(abs(case when stddev_samp({a})>0 and stddev_samp({b})>0 then corr({a},{b}) end)>0.995,false)::int" for a, b in pairs)
     return (f"select '{name}' as feature_version, {len(columns)}::bigint as feature_count, sum({cells})::bigint as missing_cells, ({constant})::bigint as constant_features, "
-            f"({flat})::bigint as near_constant_features, ({copies})::bigint as duplicate_features, ({high})::bigint as correlated_pairs from feats")
+            f"({flat})::bigint as near_constant_features, ({copies})::bigint as duplicate_features, ({high})::bigint as correlated_pairs from copied")
 
 
-@query("e07_version_audit", "feats", " union all ".join(version_sql(n, c) for n, c in VERSIONS.items()))
+@query("e07_version_audit", "copied", " union all ".join(version_sql(n, c) for n, c in VERSIONS.items()))
 def version_audit(fx):
-    return P.version_audit(fx.feats_once, VERSIONS, "row_id")
+    copied = fx.feats_once.withColumns({"qty_same": F.col("qty_sum"), "qty_again": F.col("qty_sum")})
+    return P.version_audit(copied, VERSIONS, "row_id")
 
 
 @query("e08_extreme_features", "feats", f"""with {long_sql()}

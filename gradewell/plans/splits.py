@@ -19,11 +19,11 @@ def split_sql(test: str, validation: str, source: str = "feats") -> str:
 n0 as (select label, count(*) as n from {source} group by label),
 t1 as (select label, n, sum(n) over ()::bigint as tot, ceil(sum(n) over () * {test}::double)::bigint as d from n0),
 t2 as (select *, (n*d)//tot as b, (n*d)%tot as l from t1),
-t3 as (select label, n, b + (row_number() over (order by l desc, label) <= d - sum(b) over ())::int as n_test from t2),
+t3 as (select label, n, b + (row_number() over (order by l desc, label nulls first) <= d - sum(b) over ())::int as n_test from t2),
 v1 as (select *, (n-n_test) as r, sum(n-n_test) over ()::bigint as tot, ceil(sum(n-n_test) over () * ({validation})::double)::bigint as d from t3),
 v2 as (select *, (r*d)//tot as b, (r*d)%tot as l from v1),
-v3 as (select label, n_test, n_test + b + (row_number() over (order by l desc, label) <= d - sum(b) over ())::int as n_both from v2),
-sp as (select o.*, case when rn<=n_test then 'test' when rn<=n_both then 'val' else 'train' end as split from o join v3 using (label))"""
+v3 as (select label, n_test, n_test + b + (row_number() over (order by l desc, label nulls first) <= d - sum(b) over ())::int as n_both from v2),
+sp as (select o.*, case when rn<=n_test then 'test' when rn<=n_both then 'val' else 'train' end as split from o join v3 on o.label is not distinct from v3.label)"""
 
 
 def keys(fx):
@@ -48,6 +48,33 @@ def stratified_folds(fx):
     return S.stratified_folds(keys(fx), ["label"], "row_id", 5)
 
 
+@query("g01_null_labels", "gaps", f"with {split_sql('0.2', '0.2', 'gaps')} select row_id, label, split from sp")
+def split_null_labels(fx):
+    """Rows without a label are a stratum like any other."""
+    return S.stratified_split(materialize(fx.gaps.select("row_id", "label")), ["label"], "row_id", 0.2, 0.2)
+
+
+@query("g03_null_strata", "gaps", """
+select row_id, label, source, (ntile(3) over (partition by label, source order by md5('42|' || row_id), row_id) - 1)::int as fold from gaps""")
+def folds_null_strata(fx):
+    return S.stratified_folds(materialize(fx.gaps.select("row_id", "label", "source")), ["label", "source"], "row_id", 3)
+
+
+@query("f07_null_labels", "gaps", """
+select row_id, label from (select *, row_number() over (partition by label order by md5('42|' || row_id), row_id) as rn from gaps) where rn<=900//6""")
+def cap_null_labels(fx):
+    return S.stratified_cap(materialize(fx.gaps.select("row_id", "label")), "label", "row_id", 900)
+
+
+@query("f08_null_labels", "gaps", """
+with h as (select row_id, label, md5('42|' || row_id) as h from gaps),
+a as (select *, row_number() over (partition by label order by h, row_id) <= 900//6 as first from h),
+b as (select *, row_number() over (partition by first order by h, row_id) as rn from a)
+select row_id, label from b where first or rn <= 900 - (select count(*) from b where first)""")
+def balanced_null_labels(fx):
+    return S.balanced_sample(materialize(fx.gaps.select("row_id", "label")), "label", "row_id", 900)
+
+
 @query("g05_split_report", "feats", f"""with {split_sql('0.2', '0.2')}
 select split, label, count(*) as n, sum(count(*)) over (partition by split)::bigint as split_size,
   round(count(*)/sum(count(*)) over (partition by split),6) as share from sp group by split, label""")
