@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.nearmatch import near_pairs
+from gradewell.operators.ordering import global_rank
 from gradewell.session import materialize
 
 REJECT_INVALID = "invalid_or_unreadable"
@@ -59,7 +60,9 @@ def _select_label(rows: DataFrame, quota: int, k: int, bits: int) -> tuple[DataF
     nodes = materialize(open_rows.groupBy("fp").agg(F.min("rank").alias("rank")))
     edges = near_pairs(nodes.withColumn("_g", F.lit(0)), ["_g"], "fp", k, bits).select("fp_a", "fp_b")
     accepted = independent_nodes(nodes, edges)
-    taken = materialize(accepted.orderBy("rank").limit(quota))
+    # The quota is cut at a rank found over ranges of ranks, not by ordering all accepted nodes in one task.
+    placed = global_rank(accepted.withColumnRenamed("rank", "order_key"), "order_key")
+    taken = materialize(placed.filter(F.col("rank") <= quota).select("fp", F.col("order_key").alias("rank")))
     last = taken.agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank")).first()
     inspected = rows
     if last["n"] >= quota:  # the walk stops at the candidate that fills the quota

@@ -6,7 +6,7 @@ expression over the cells of that small table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,21 +31,20 @@ def confusion_wide(df: DataFrame, by: Sequence[str], labels: Sequence[int] = K.G
     error and kappa formulas need.
     """
     counts = df.groupBy(*by, F.col(truth).alias("_t"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    t, p, n = F.col("_t"), F.col("_p"), F.col("_n")
-    known = t.isin(*labels) & p.isin(*labels)
+    listed = ", ".join(str(i) for i in labels)
+    known = f"(_t in ({listed}) and _p in ({listed}))"
 
-    def tally(condition: Column, value: Column = n) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    def tally(condition: str, name: str, value: str = "_n") -> Column:
+        return F.expr(f"coalesce(sum(case when {condition} then {value} end), 0) as {name}")
 
+    # As SQL text: one call into the JVM per column, however many operators a column has.
     return counts.groupBy(*by).agg(
-        *[tally((t == i) & (p == j)).alias(f"c_{i}_{j}") for i in labels for j in labels],
-        *[tally(known & (t == i)).alias(f"support_{i}") for i in labels],
-        *[tally(known & (p == i)).alias(f"predicted_{i}") for i in labels],
-        F.sum("_n").alias("n_rows"), tally(known).alias("n_known"),
-        F.sum(F.abs(t - p) * n).alias("abs_error"),
-        tally(known, (t - p) * (t - p) * n).alias("square_error"),
-        tally(known, (t * t + p * p) * n).alias("squares"),
-        tally(known, t * n).alias("sum_true"), tally(known, p * n).alias("sum_pred"),
+        *[tally(f"_t = {i} and _p = {j}", f"c_{i}_{j}") for i in labels for j in labels],
+        *[tally(f"{known} and _t = {i}", f"support_{i}") for i in labels],
+        *[tally(f"{known} and _p = {i}", f"predicted_{i}") for i in labels],
+        F.sum("_n").alias("n_rows"), tally(known, "n_known"), F.expr("sum(abs(_t - _p) * _n) as abs_error"),
+        tally(known, "square_error", "(_t - _p) * (_t - _p) * _n"), tally(known, "squares", "(_t * _t + _p * _p) * _n"),
+        tally(known, "sum_true", "_t * _n"), tally(known, "sum_pred", "_p * _n"),
     )
 
 
@@ -63,16 +62,33 @@ def predicted(i: int) -> Column:
     return F.col(f"predicted_{i}")
 
 
+def ratio_sql(n: str, d: str) -> str:
+    """SQL text of n / d, and 0 where d is 0."""
+    return f"(case when {d} <> 0 then cast({n} as double) / {d} else 0.0D end)"
+
+
+def precision_sql(i: int) -> str:
+    return ratio_sql(f"c_{i}_{i}", f"predicted_{i}")
+
+
+def recall_sql(i: int) -> str:
+    return ratio_sql(f"c_{i}_{i}", f"support_{i}")
+
+
+def f1_sql(i: int) -> str:
+    return ratio_sql(f"(2 * c_{i}_{i})", f"(support_{i} + predicted_{i})")
+
+
 def class_precision(i: int) -> Column:
-    return zero_div(cell(i, i), predicted(i))
+    return F.expr(precision_sql(i))
 
 
 def class_recall(i: int) -> Column:
-    return zero_div(cell(i, i), support(i))
+    return F.expr(recall_sql(i))
 
 
 def class_f1(i: int) -> Column:
-    return zero_div(2 * cell(i, i), support(i) + predicted(i))
+    return F.expr(f1_sql(i))
 
 
 def per_class(wide: DataFrame, by: Sequence[str], labels: Sequence[int] = K.GRADES) -> DataFrame:
@@ -100,29 +116,29 @@ def one_vs_rest(wide: DataFrame, by: Sequence[str], labels: Sequence[int] = K.GR
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def _averaged(per_label, labels: Sequence[int], only_present: bool) -> Column:
+def _averaged(per_label: Callable[[int], str], labels: Sequence[int], only_present: bool) -> Column:
     """Mean over all labels, or over the labels that occur in the truth."""
     if not only_present:
-        return total([per_label(i) for i in labels]) / len(labels)
-    present = [(support(i) > 0).cast("int") for i in labels]
-    weighted = [F.when(support(i) > 0, per_label(i)).otherwise(0.0) for i in labels]
-    return zero_div(total(weighted), total(present))
+        return F.expr(f"({' + '.join(per_label(i) for i in labels)}) / {len(labels)}")
+    present = " + ".join(f"cast(support_{i} > 0 as int)" for i in labels)
+    weighted = " + ".join(f"(case when support_{i} > 0 then {per_label(i)} else 0.0D end)" for i in labels)
+    return F.expr(ratio_sql(f"({weighted})", f"({present})"))
 
 
 def accuracy(labels: Sequence[int]) -> Column:
-    return zero_div(total([cell(i, i) for i in labels]), F.col("n_rows"))
+    return F.expr(ratio_sql("(" + " + ".join(f"c_{i}_{i}" for i in labels) + ")", "n_rows"))
 
 
 def balanced_accuracy(labels: Sequence[int]) -> Column:
-    return _averaged(class_recall, labels, only_present=True)
+    return _averaged(recall_sql, labels, only_present=True)
 
 
 def cohen_kappa(labels: Sequence[int]) -> Column:
     """Agreement beyond chance; NULL when chance agreement is certain."""
-    n = F.col("n_known").cast("double")
-    observed = total([cell(i, i) for i in labels]) / n
-    chance = total([support(i).cast("double") * predicted(i) for i in labels]) / (n * n)
-    return F.when(chance != 1, 1 - (1 - observed) / (1 - chance))
+    n = "cast(n_known as double)"
+    observed = f"(({' + '.join(f'c_{i}_{i}' for i in labels)}) / {n})"
+    chance = f"(({' + '.join(f'cast(support_{i} as double) * predicted_{i}' for i in labels)}) / ({n} * {n}))"
+    return F.expr(f"case when {chance} <> 1 then 1 - (1 - {observed}) / (1 - {chance}) end")
 
 
 def quadratic_kappa() -> Column:
@@ -134,14 +150,14 @@ def quadratic_kappa() -> Column:
 def summary_metrics(wide: DataFrame, by: Sequence[str], labels: Sequence[int] = K.GRADES,
                     only_present: bool = False) -> DataFrame:
     """Accuracy, balanced accuracy, macro and weighted averages, kappas and mean grade error."""
-    weighted_f1 = zero_div(total([class_f1(i) * support(i) for i in labels]), F.col("n_known"))
+    weighted_f1 = F.expr(ratio_sql("(" + " + ".join(f"{f1_sql(i)} * support_{i}" for i in labels) + ")", "n_known"))
     return wide.select(
         *by, "n_rows",
         accuracy(labels).alias("accuracy"),
         balanced_accuracy(labels).alias("balanced_accuracy"),
-        _averaged(class_precision, labels, only_present).alias("macro_precision"),
-        _averaged(class_recall, labels, only_present).alias("macro_recall"),
-        _averaged(class_f1, labels, only_present).alias("macro_f1"),
+        _averaged(precision_sql, labels, only_present).alias("macro_precision"),
+        _averaged(recall_sql, labels, only_present).alias("macro_recall"),
+        _averaged(f1_sql, labels, only_present).alias("macro_f1"),
         weighted_f1.alias("weighted_f1"),
         cohen_kappa(labels).alias("cohen_kappa"),
         quadratic_kappa().alias("quadratic_kappa"),
