@@ -54,11 +54,10 @@ def independent_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes if rejected is None else nodes.join(rejected, "fp", "left_anti")
 
 
-def _select_label(rows: DataFrame, quota: int, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(outcome per inspected row, accepted hashes) of one label whose static reasons are known."""
+def _select_label(rows: DataFrame, edges: DataFrame, quota: int) -> tuple[DataFrame, DataFrame]:
+    """(outcome per inspected row, accepted hashes) of one label whose static reasons and near pairs are known."""
     open_rows = rows.filter("reason is null")
     nodes = materialize(open_rows.groupBy("fp").agg(F.min("rank").alias("rank")))
-    edges = near_pairs(nodes.withColumn("_g", F.lit(0)), ["_g"], "fp", k, bits).select("fp_a", "fp_b")
     accepted = independent_nodes(nodes, edges)
     # The quota is cut at a rank found over ranges of ranks, not by ordering all accepted nodes in one task.
     placed = global_rank(accepted.withColumnRenamed("rank", "order_key"), "order_key")
@@ -93,6 +92,9 @@ def governed_selection(candidates: DataFrame, current: DataFrame, needed: dict,
         F.when(~F.col("readable") | F.col("tiny_or_invalid"), REJECT_INVALID)
         .when(~F.col("quality_pass"), REJECT_QUALITY)
         .when(F.col("_known"), REJECT_CURRENT)).drop("_known")
+    gated = materialize(gated.filter(F.col("label").isin(*priority)))
+    # Near pairs of all labels at once; what an earlier label takes away only removes ends of them.
+    near = materialize(near_pairs(gated.filter("reason is null"), ["label"], "fp", k, bits).select("label", "fp_a", "fp_b"))
     results, taken = None, None
     for label in priority:
         quota = needed.get(label, 0)
@@ -103,8 +105,8 @@ def governed_selection(candidates: DataFrame, current: DataFrame, needed: dict,
             earlier = taken.distinct().withColumn("_taken", F.lit(True))
             rows = rows.join(earlier, "sha", "left").withColumn(
                 "reason", F.coalesce("reason", F.when(F.col("_taken"), REJECT_EXACT))).drop("_taken")
-        rows = materialize(rows)
-        outcome, hashes = _select_label(rows, quota, k, bits)
+            rows = materialize(rows)
+        outcome, hashes = _select_label(rows, near.filter(F.col("label") == label).select("fp_a", "fp_b"), quota)
         results = outcome if results is None else results.unionByName(outcome)
         taken = hashes if taken is None else taken.unionByName(hashes)
     if results is None:

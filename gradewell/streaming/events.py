@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from gradewell.sources.sinks import FEEDBACK_SCHEMA, stamped
 
@@ -40,10 +44,33 @@ def feedback_metrics(feedback: DataFrame, time: str, window: str = "1 day", slid
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean_rating", "mean_seconds")
 
 
-def latest_states(updates: DataFrame, task: str, time: str, state: str = "state") -> DataFrame:
-    """Newest state per task, for update mode; the aggregate keeps one value per task."""
-    newest = F.max_by(F.struct(time, state), F.col(time)).alias("s")
-    return updates.groupBy(task).agg(newest).select(task, f"s.{time}", f"s.{state}")
+def latest_states(updates: DataFrame, task: str, time: str, state: str = "state", delay: str = "1 hour",
+                  keep_seconds: int = 7 * 86400) -> DataFrame:
+    """Newest state per task, for update mode; a task without updates for ``keep_seconds`` of event time is forgotten.
+
+    One (time, state) is kept per task. ``time`` must be a timestamp.
+    """
+    kinds = {c: updates.schema[c].dataType.simpleString() for c in (task, time, state)}
+
+    def newest(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        before = held.get if held.exists else None
+        best = before
+        for batch in batches:
+            row = batch.loc[batch[time].idxmax()]
+            at = int(row[time].value // 1000)
+            if best is None or at > best[0]:
+                best = (at, row[state])
+        if best != before:
+            held.update(best)
+            yield pd.DataFrame({task: [key[0]], time: [pd.Timestamp(best[0] * 1000)], state: [best[1]]})
+        held.setTimeoutTimestamp(max(best[0] // 1000 + keep_seconds * 1000, held.getCurrentWatermarkMs() + 1))
+
+    output = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    return updates.select(task, time, state).withWatermark(time, delay).groupBy(task).applyInPandasWithState(
+        newest, output, f"at bigint, state {kinds[state]}", "update", "EventTimeTimeout")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json") -> DataStreamWriter:

@@ -52,7 +52,8 @@ def test_feedback_documents(spark, tmp_path):
 
 
 def test_task_states_keep_the_newest(spark, tmp_path):
-    table = spark.createDataFrame([("a", 1, "PENDING"), ("a", 3, "SUCCESS"), ("a", 2, "STARTED"), ("b", 1, "PENDING")], "task string, at int, state string")
+    rows = [("a", 1, "PENDING"), ("a", 3, "SUCCESS"), ("a", 2, "STARTED"), ("b", 1, "PENDING")]
+    table = spark.createDataFrame(rows, "task string, at int, state string").withColumn("at", F.timestamp_seconds("at"))
     table.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     query = E.latest_states(stream, "task", "at").writeStream.outputMode("update").format("memory").queryName("task_states").trigger(availableNow=True).start()
@@ -60,6 +61,19 @@ def test_task_states_keep_the_newest(spark, tmp_path):
     assert {(r["task"], r["state"]) for r in spark.table("task_states").collect()} == {("a", "SUCCESS"), ("b", "PENDING")}
 
 
+def test_task_states_expire(spark, tmp_path):
+    stream = None
+    for n, (task, at) in enumerate([("a", 0), ("b", 100_000), ("c", 200_000), ("d", 300_000)]):
+        table = spark.createDataFrame([(task, at, "STARTED")], "task string, at int, state string").withColumn("at", F.timestamp_seconds("at"))
+        table.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream or spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        query = E.latest_states(stream, "task", "at", keep_seconds=3600).writeStream.outputMode("update").option(
+            "checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, i: df.collect() and None).trigger(availableNow=True).start()
+        query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert kept[-1] < 4
+
+
 def test_scored_stream_equals_scored_table(spark, fx, tmp_path):
     table = fx.feats.select("row_id", "label", "qty_sum", "total").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     model = T.fit(table, ["qty_sum", "total"], "naive_bayes")
