@@ -22,18 +22,20 @@ from gradewell.llm.common import per_batch
 from gradewell.llm.labelled_blocks import KEPT, LABELLED_PAGES
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_furniture")
-BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
+BLOCK_TAGS = frozenset("""address article aside blockquote body head caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 #: Elements whose start and end are followed, to know what a block stands in.
 CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header main menu nav ol p pre search section select span table ul".split())
 FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form header menu nav search select".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 #: Elements whose content is never page text.
-SILENT = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|head(?=[\\s>])"
+SILENT = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video"
 FURNITURE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog
 disclaimer discussion disqus feedback foot footer form gdpr head header login masthead menu menubar meta modal nav navbar navigation newsletter notice pager pagination popup
 privacy promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar
 widget widgets banners contentinfo complementary alert alertdialog legal notification notifications responses""".split())
+#: Words that begin like these count too (commentlist, cookiebar).
+FURNITURE_STEMS = ("advert", "adsby", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "menu", "navbar", "navig", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
 ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
 TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<({SILENT})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 NAME = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -50,6 +52,10 @@ class Block:
     in_furniture: bool
 
 
+def is_furniture(word: str) -> bool:
+    return word in FURNITURE_NAMES or word.startswith(FURNITURE_STEMS)
+
+
 def names_of(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element opens an article, and whether it opens page furniture."""
     article, furniture = tag in ARTICLE_TAGS, tag in FURNITURE_TAGS
@@ -65,11 +71,11 @@ def names_of(tag: str, attributes: str) -> tuple[bool, bool]:
                         continue
                     if len(found) == 1:
                         article |= found[0] in ARTICLE_NAMES
-                        furniture |= found[0] in FURNITURE_NAMES
+                        furniture |= is_furniture(found[0])
                     elif found[0] in ARTICLE_NAMES and found[1] in ("content", "body", "text", "header", "title"):
                         article |= found[1] in ("content", "body", "text")
                     else:
-                        furniture |= any(w in FURNITURE_NAMES for w in found)
+                        furniture |= any(map(is_furniture, found))
     return article, furniture and not (tag in ARTICLE_TAGS or tag == "body")
 
 
@@ -106,8 +112,6 @@ def blocks_of(html: str | None) -> list[Block]:
         at = found.end()
         silent, slash, tag, attributes = found.groups()
         if silent or not tag:
-            if silent and silent.lower() == "head":
-                close()
             continue
         tag = tag.lower()
         if tag == "a":

@@ -22,6 +22,7 @@ CASES = [
     ("<article><p>A</p><div class='comments'><p>A reader wrote many words here about all the things that matter.</p></div></article>", "A"),
     ("<body><aside>Side words that go on for quite a while, to look like text</aside><main><p>Main words.</p></main><div hidden>Hidden words of a page that nobody sees at all</div>", "Main words."),
     ("<article><header><h1>Head</h1></header><p>Body of it.</p><form><p>Write to us about this and that, and more.</p></form></article>", "Head\nBody of it."),
+    ("<html><head><title>T</title><body><article><p>No end of the head.</p><ol class=commentlist><li>First reader, who liked all of it very much.</ol></article>", "No end of the head."),
     ("<ARTICLE><P CLASS=x>Upper</P></ARTICLE>", "Upper"),
 ]
 
