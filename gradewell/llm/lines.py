@@ -145,8 +145,9 @@ def repeated_lines(feedback: DataFrame, text: str = "free_text_feedback", key: s
         return out
 
     found = store(per_batch(feedback, {"key": key, "text": text}, f"digest binary, text_digest binary, key {kind}", suspects, weigh="text"))
-    exact = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"), F.min("key").alias("first_key")).filter(F.col("n_texts") >= min_texts)
-    return found, exact
+    # Stored, so that its size is known and a join to it may broadcast it, or split the suspects of a very common line.
+    counted = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"), F.min("key").alias("first_key"))
+    return found, store(counted.filter(F.col("n_texts") >= min_texts))
 
 
 def drop_repeated_lines(feedback: DataFrame, key: str = "session_id", text: str = "free_text_feedback", min_texts: int = 10,
