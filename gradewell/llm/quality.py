@@ -4,8 +4,9 @@ One dictionary is built from pieces of texts labelled good, one from pieces of t
 pieces of about ``PIECE_BYTES``, every piece is compressed with both, and the difference of the sizes, divided by their sum,
 says which kind the text resembles: over the whole text and for its worst piece. These differences, the compressed
 size per byte and the length are calibrated by a logistic regression with squares and products, weighted so that the
-classes count as often as they are labelled. The labelled rows used are bounded by ``rows_per_class``, taken in the order of
-a hash of the key; half of them make the dictionaries, the other half the calibration.
+classes count as often as they are labelled. The labelled rows used are bounded by ``rows_per_class``: keys are taken
+whose hash lies below the share wanted. For the calibration each half of them is measured with dictionaries made from
+the other half; the model's own dictionaries are made from both.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import per_batch
 
 PIECE_BYTES = 1000
-PIECES_PER_TEXT = 6
+PIECES_PER_TEXT = 4
 DICTIONARY_BYTES = 112_640
 LEVEL = 1
 ROWS_PER_CLASS = 4000
@@ -118,46 +119,58 @@ def build_dictionary(pieces: list[bytes]) -> bytes:
 
 
 def sampled_labels(labels: DataFrame, key: str, label: str, rows_per_class: int) -> DataFrame:
-    """(key, label, weight, part): at most ``rows_per_class`` labelled keys of each class, in hash order, and how many
-    labelled rows each stands for; rows of part 0 make the dictionaries, those of part 1 the calibration."""
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    """(key, label, weight, part): about ``rows_per_class`` labelled keys of each class, all where there are fewer, and
+    how many labelled keys each stands for; ``part`` halves them.
+
+    Keys are taken whose hash lies below the share that is wanted, so no class is ordered or gathered.
+    """
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
     totals = known.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("quality"), "key"), "key")
-    first = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_class)
-    taken = first.groupBy("label").agg(F.count(F.lit(1)).alias("taken"))
-    return first.join(F.broadcast(totals), "label").join(F.broadcast(taken), "label").select(
-        "key", "label", (F.col("total") / F.col("taken")).alias("weight"), (F.col("place") % 2).alias("part"))
+    place = F.pmod(F.xxhash64(F.lit("quality"), "key"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.join(F.broadcast(totals), "label").filter(place * F.col("total") < rows_per_class)
+    weight = F.greatest(F.col("total") / rows_per_class, F.lit(1.0))
+    return chosen.select("key", "label", weight.alias("weight"), F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(2)).alias("part"))
 
 
 def train_quality(feedback: DataFrame, labels: DataFrame, key: str = "session_id", text: str = "free_text_feedback", label: str = "quality",
                   rows_per_class: int = ROWS_PER_CLASS) -> QualityModel:
     """A model from ``feedback`` and ``labels`` (key, label 0 or 1), of which only rows to be learnt from may be given.
 
-    The sampled labels (at most 2 x ``rows_per_class`` rows) are broadcast; their texts are read in one pass.
+    The sampled labels (about 2 x ``rows_per_class`` rows at most) are broadcast; their texts are read in one pass.
     Null keys and other label values are left out.
     """
     chosen = F.broadcast(sampled_labels(labels, key, label, rows_per_class))
     texts = feedback.select(feedback[key].alias("key"), feedback[text].alias("text")).join(chosen, "key")
 
     def cut(rows: dict[str, list]) -> dict[str, list]:
-        return {"label": rows["label"], "pieces": [spread_pieces(t) for t in rows["text"]]}
+        return {"label": rows["label"], "part": rows["part"], "pieces": [spread_pieces(t) for t in rows["text"]]}
 
-    seen = per_batch(texts.filter("part = 0"), {"text": "text", "label": "label"}, "label int, pieces array<binary>", cut, weigh="text").collect()
-    by_label = {q: [bytes(p) for r in seen if r["label"] == q for p in r["pieces"]] for q in (0, 1)}
-    model = QualityModel(share=len([r for r in seen if r["label"]]) / len(seen) if seen else 0.5)
-    if not by_label[0] or not by_label[1]:
-        return model
-    model.good, model.bad = build_dictionary(by_label[1]), build_dictionary(by_label[0])
+    seen = per_batch(texts, {"text": "text", "label": "label", "part": "part"}, "label int, part bigint, pieces array<binary>", cut, weigh="text").toArrow()
+    label, part = seen.column("label").to_numpy(), seen.column("part").to_numpy()
+    pieces = seen.column("pieces").to_pylist()
 
-    def measure(rows: dict[str, list]) -> dict[str, list]:
-        return {"label": rows["label"], "weight": rows["weight"], "features": model.features(rows["text"]).tolist()}
+    def dictionary(wanted: int, parts: tuple[int, ...]) -> bytes:
+        return build_dictionary(sorted(p for q, n, found in zip(label, part, pieces) if q == wanted and n in parts for p in found))
 
-    held = per_batch(texts.filter("part = 1"), {"text": "text", "label": "label", "weight": "weight"},
+    share = float(label.mean()) if len(label) else 0.5
+    if len(set(zip(label.tolist(), part.tolist()))) < 4:
+        return QualityModel(share)
+    # Each half is measured with the dictionaries of the other half; the model keeps those of both.
+    halves = [QualityModel(share, dictionary(1, (n,)), dictionary(0, (n,))) for n in (0, 1)]
+    model = QualityModel(share, dictionary(1, (0, 1)), dictionary(0, (0, 1)))
+
+    def measure(rows: dict[str, list]) -> dict[str, list]:
+        found = [None] * len(rows["text"])
+        for n in (0, 1):
+            places = [i for i, p in enumerate(rows["part"]) if p == n]
+            for i, row in zip(places, halves[1 - n].features([rows["text"][i] for i in places]).tolist()):
+                found[i] = row
+        return {"label": rows["label"], "weight": rows["weight"], "features": found}
+
+    held = per_batch(texts, {"text": "text", "label": "label", "weight": "weight", "part": "part"},
                      "label int, weight double, features array<double>", measure, weigh="text").collect()
-    answers = np.array([r["label"] for r in held], float)
-    if len(set(answers)) == 2:
-        held.sort(key=lambda r: (r["label"], r["features"]))
-        model.calibrate(np.array([r["features"] for r in held]), np.array([r["label"] for r in held], float), np.array([r["weight"] for r in held]))
+    held.sort(key=lambda r: (r["label"], r["features"]))
+    model.calibrate(np.array([r["features"] for r in held]), np.array([r["label"] for r in held], float), np.array([r["weight"] for r in held]))
     return model
 
 
