@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -156,6 +157,32 @@ def stack(df: DataFrame, features: Sequence[str], names: Sequence[str], key: str
     return top, meta
 
 
+@dataclass(frozen=True)
+class StackedModel:
+    """Base models fitted on all training rows under a meta model fitted on their out-of-fold probabilities."""
+
+    base: list[PipelineModel]
+    top: PipelineModel
+    labels: Sequence[int]
+
+    def predictions(self, rows: DataFrame, key: str, truth: str = "label") -> DataFrame:
+        """Prediction table of rows that the model need not have seen; one pass, no join."""
+        out = rows.select(key, truth, *[c for c in rows.columns if c not in (key, truth)])
+        for i, model in enumerate(self.base):
+            known = vector_to_array("probability")
+            prob = F.array(*[F.coalesce(F.try_element_at(known, F.lit(n + 1)), F.lit(0.0)) for n in range(len(self.labels))])
+            out = model.transform(out).select(*out.columns, prob.alias(f"_p{i}"))
+        stacked = array_to_vector(F.concat(*[F.col(f"_p{i}") for i in range(len(self.base))]))
+        return predictions(self.top, out.select(key, F.col(truth).alias("label"), stacked.alias("features")), [key], "label", self.labels)
+
+
+def fit_stack(df: DataFrame, features: Sequence[str], names: Sequence[str], key: str, label: str = "label",
+              labels: Sequence[int] = K.GRADES, **params) -> StackedModel:
+    """Stacking over the folds in ``df``: the meta model learns from held-out rows, the base models are then refitted on all."""
+    top, _ = stack(df, features, names, key, label, labels, **params)
+    return StackedModel([fit(df, features, name, label, **params) for name in names], top, labels)
+
+
 # -- calibration -------------------------------------------------------------------------------
 
 def calibrators(fit_rows: DataFrame, score: str, positive: Column) -> dict[str, Callable[[DataFrame], DataFrame]]:

@@ -9,6 +9,7 @@ from gradewell.models import prep, training as T
 from gradewell.operators import metrics as M
 from gradewell.operators import profile as P
 from gradewell.operators import splits as S
+from gradewell.plans.evaluation import CONFUSION, METRICS, SUMMARY_OUT
 from gradewell.plans.fixtures import FEATURES
 from gradewell.plans.profiling import long_sql
 from gradewell.plans.registry import CATALOG
@@ -56,6 +57,20 @@ def scaled_features(fx):
     return tidy(out.drop("qty_sum", "total"))
 
 
+def bayes_sql(source: str, held: str) -> str:
+    """Gaussian naive Bayes with equal class weights as the CTE ``pred``: rows of the folds ``held`` by the other folds.
+
+    Missing cells take the median of the fitting rows. Scaling a column does not change the answer.
+    """
+    cells = " union all ".join(f"select row_id, label, fold, '{c}' as feature, {c}::double as v from {source}" for c in INPUTS)
+    return f"""cells as ({cells}), held as ({held}),
+med as (select f, feature, coalesce(quantile_cont(v,0.5),0) as med from cells join held on fold<>f group by all),
+fitted as (select f, label as k, feature, avg(coalesce(v,med)) as mu, var_pop(coalesce(v,med)) as s2 from cells join held on fold<>f join med using (f, feature) group by all),
+scored as (select row_id, fold, label as y_true, k, sum(-ln(s2)/2 - pow(coalesce(v,med)-mu,2)/(2*s2)) as s
+  from cells c join med m on m.f=c.fold and m.feature=c.feature join fitted t on t.f=c.fold and t.feature=c.feature group by all),
+pred as (select row_id, fold, y_true, arg_max(k, s)::int as y_pred from scored group by row_id, fold, y_true)"""
+
+
 def evaluated(fx, name, features=INPUTS, binary=False, **params):
     """Holdout metrics of one model."""
     train, test = split(fx)
@@ -106,9 +121,11 @@ def boosted_trees_grades(fx):
     return evaluated(fx, "boosted_trees", maxIter=3, maxDepth=3)
 
 
-@query("m07_naive_bayes")
+@query("m07_naive_bayes", "feats", f"""with {split_sql('0.2', '0.2')}, parts as (select *, case when split='test' then 0 else 1 end as fold from sp),
+{bayes_sql('parts', 'select 0 as f')}, graded as (select 'naive_bayes' as model, row_id, y_true, y_pred from pred),
+{CONFUSION.replace('preds', 'graded')}, {METRICS} {SUMMARY_OUT}""")
 def naive_bayes(fx):
-    return evaluated(fx, "naive_bayes")
+    return tidy(evaluated(fx, "naive_bayes"))
 
 
 @query("m08_support_vectors")
@@ -117,11 +134,12 @@ def support_vectors(fx):
         evaluated(fx, "kernel_svm", binary=True, components=64, maxIter=10))
 
 
-def folded(fx, folds=3):
+def folded(fx, folds=5):
     return S.stratified_folds(materialize(fx.feats.select("row_id", "label", *INPUTS)), ["label"], "row_id", folds)
 
 
-@query("g06_out_of_fold")
+@query("g06_out_of_fold", "feats", f"""with parts as (select *, (ntile(5) over (partition by label order by md5('42|' || row_id), row_id) - 1)::int as fold from feats),
+{bayes_sql('parts', 'select unnest(range(5)) as f')} select row_id, fold, y_true, y_pred from pred""")
 def out_of_fold(fx):
     oof = T.out_of_fold(folded(fx), INPUTS, "naive_bayes", "row_id")
     return oof.select("row_id", "fold", "y_true", "y_pred")
@@ -143,8 +161,11 @@ def parameter_search(fx):
 
 @query("m13_stacking")
 def stacking(fx):
-    top, meta = T.stack(folded(fx, 2), INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
-    scored = T.predictions(top, meta, ["row_id"]).withColumn("model", F.lit("stacking"))
+    """Base and meta models of the training rows, judged on rows neither has seen."""
+    train, test = split(fx)
+    folds = S.stratified_folds(materialize(train.select("row_id", "label", *INPUTS)), ["label"], "row_id", 2)
+    model = T.fit_stack(folds, INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
+    scored = model.predictions(test, "row_id").withColumn("model", F.lit("stacking"))
     return tidy(M.evaluate(scored, ["model"]).select("model", "n_rows", "accuracy", "macro_f1", "quadratic_kappa"))
 
 
