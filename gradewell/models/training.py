@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -117,6 +118,20 @@ def cross_validate(df: DataFrame, features: Sequence[str], names: Sequence[str],
     return M.evaluate(stitched, ["model", "fold"], labels)
 
 
+def random_candidates(ranges: Mapping[str, Sequence], trials: int, seed: int = K.SEED) -> list[dict]:
+    """Parameter sets drawn at random, always the same ones for a seed: from a list of choices, or from a (low, high) tuple,
+    whole numbers where both ends are whole."""
+    draw = random.Random(seed)
+
+    def pick(values: Sequence):
+        if not isinstance(values, tuple):
+            return draw.choice(list(values))
+        low, high = values
+        return draw.randint(low, high) if isinstance(low, int) and isinstance(high, int) else draw.uniform(low, high)
+
+    return [{name: pick(values) for name, values in ranges.items()} for _ in range(trials)]
+
+
 def search(df: DataFrame, features: Sequence[str], name: str, candidates: Sequence[Mapping], key: str, label: str = "label",
            done: DataFrame | None = None, labels: Sequence[int] = K.GRADES) -> DataFrame:
     """Trial log of a parameter search: one row per candidate with its out-of-fold macro F1.

@@ -154,7 +154,7 @@ def cross_validation(fx):
 @query("m11_parameter_search")
 def parameter_search(fx):
     table = folded(fx, 2)
-    candidates = [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 8, "maxDepth": 4}]
+    candidates = T.random_candidates({"numTrees": (5, 12), "maxDepth": (3, 6), "subsamplingRate": [0.7, 0.8, 1.0]}, 4)
     first = T.search(table, INPUTS, "random_forest", candidates[:1], "row_id")
     return tidy(T.search(table, INPUTS, "random_forest", candidates, "row_id", done=first))
 
