@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import per_batch
@@ -197,13 +197,14 @@ def keep_one_per_group(feedback: DataFrame, key: str = "session_id", text: str =
     def prints_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64))
 
-    columns = feedback.columns
-    held = store(feedback.withColumn("_fp", prints_of(feedback[text])))
-    groups = group_table(held.select(F.col(key), F.col("_fp").alias("fingerprint")), key, k, segments, crowded).select(
-        F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_id"))
-    kept = held.join(groups, "_fp").filter(F.col(key).eqNullSafe(F.col("_id")))
-    place = F.row_number().over(Window.partitionBy("_root").orderBy("_fp", text))
-    return kept.withColumn("_place", place).filter("_place = 1").select(*columns)
+    # Row numbers are written with the rows, so they stay what they are; texts move once, by row number.
+    held = store(feedback.withColumns({"_fp": prints_of(feedback[text]), "_row": F.monotonically_increasing_id()}))
+    narrow = held.select(F.col(key).alias("key"), F.col("_fp").alias("fingerprint"), "_row")
+    groups = group_table(narrow, "key", k, segments, crowded).select(F.col("fp").alias("fingerprint"), "root")
+    least = F.min(F.struct(F.col("key").isNull(), "key", "_row"))
+    per_print = narrow.groupBy("fingerprint").agg(least.alias("first"))
+    kept = per_print.join(groups, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return held.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*feedback.columns)
 
 
 def lit_number(value: int) -> str:
