@@ -164,9 +164,10 @@ def drop_repeated_lines(feedback: DataFrame, key: str = "session_id", text: str
     table gives an empty result.
     """
     found, exact = repeated_lines(feedback, text, key, min_texts, min_chars, bits, segment_bytes)
-    # One row per distinct text and line, so that a text held by very many rows is one small group.
-    drops = found.select("digest", "text_digest").distinct().join(exact, "digest").groupBy(F.col("text_digest").alias("_digest")).agg(
-        F.collect_list(F.struct("digest", "first_key")).alias("_drops"))
+    # One row per distinct text and line, so that a text held by very many rows is one small group. Stored, so that
+    # the join below is between two exchanges and the rows of such a text can be split over tasks.
+    drops = store(found.select("digest", "text_digest").distinct().join(exact, "digest").groupBy(F.col("text_digest").alias("_digest")).agg(
+        F.collect_list(F.struct("digest", "first_key")).alias("_drops")))
     base = feedback.drop(kept, "n_lines", "n_dropped", "_digest", "_drops")
     whole = base.withColumn("_digest", F.substring(F.unhex(F.sha2(F.coalesce(base[text], F.lit("")).cast("binary"), 256)), 1, 16))
     joined = whole.join(drops.hint("shuffle_hash"), "_digest", "left").drop("_digest")
