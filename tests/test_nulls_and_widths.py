@@ -32,8 +32,10 @@ def test_null_models_are_groups(spark):
 def test_versions_wider_than_any_limit(spark):
     rng = np.random.default_rng(1)
     names = [f"f{i}" for i in range(420)]
-    table = spark.range(60).select(F.col("id").alias("row_id"), *[F.sin(F.col("id") * (i + 1) + float(rng.random())).alias(n) for i, n in enumerate(names)])
-    table = table.withColumns({"f418": F.col("f0"), "f419": F.col("f0"), "f417": 2 * F.col("f1")})
+    cells = rng.normal(size=(40, 420))
+    cells[:, 418] = cells[:, 419] = cells[:, 0]
+    cells[:, 417] = 2 * cells[:, 1]
+    table = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(cells)], "row_id int, " + ", ".join(f"{n} double" for n in names))
     out = {r["feature_version"]: r for r in P.version_audit(table, {"all": names, "copies": ["f418", "f419"], "one": ["f418"]}, "row_id").collect()}
     assert (out["all"]["feature_count"], out["all"]["duplicate_features"]) == (420, 2)
     values = table.select(*names).toPandas().to_numpy()
