@@ -72,7 +72,7 @@ class TwoFilters:
 
     def segments(self, size: int) -> Iterator[tuple[int, bytes, bytes]]:
         for i in range(0, self.bits // 8, size):
-            if self.once[i:i + size].any():
+            if self.once[i:i + size].any() or self.twice[i:i + size].any():
                 yield i // size, self.once[i:i + size].tobytes(), self.twice[i:i + size].tobytes()
 
 

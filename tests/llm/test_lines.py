@@ -46,6 +46,24 @@ def test_empty_table(spark):
     assert out.columns == ["session_id", "free_text_feedback", "kept_text", "n_lines", "n_dropped"] and out.count() == 0
 
 
+def test_partition_of_copies_only(spark):
+    rows = [(i, "a shared line\nanother shared line") for i in range(10)]
+    table = spark.createDataFrame(rows, "session_id int, free_text_feedback string").coalesce(1)
+    out = L.drop_repeated_lines(table, min_texts=10).collect()
+    assert Counter((r["session_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in out) == plain(rows, 10)
+    assert {r["n_dropped"] for r in out} == {2}
+
+
+def test_segments_with_only_hashes_seen_twice():
+    filters = L.TwoFilters(L.FILTER_BITS)
+    hashes = L.hash_keys([b"a shared line", b"another shared line"])
+    filters.add(np.concatenate([hashes, hashes]))
+    sent = np.zeros_like(filters.twice)
+    for i, _, twice in filters.segments(L.SEGMENT_BYTES):
+        sent[i * L.SEGMENT_BYTES:(i + 1) * L.SEGMENT_BYTES] = np.frombuffer(twice, np.uint8)
+    assert L.TwoFilters.has(sent, L.places(hashes, filters.bits)).all()
+
+
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(1)
     once, twice = rng.integers(0, 2 ** 63, 5000).astype(np.uint64), rng.integers(0, 2 ** 63, 500).astype(np.uint64)
