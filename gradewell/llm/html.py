@@ -30,6 +30,8 @@ FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form header menu
 ARTICLE_TAGS = frozenset(["article", "main"])
 #: Elements whose content is never page text.
 SILENT = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video"
+#: Of these, the ones that have no content when their tag ends in ``/>``.
+EMPTY = "object|svg|math|canvas|audio|video"
 FURNITURE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog
 disclaimer discussion disqus feedback foot footer form gdpr head header login masthead menu menubar meta modal nav navbar navigation newsletter notice pager pagination popup
 privacy promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar
@@ -37,7 +39,7 @@ widget widgets banners contentinfo complementary alert alertdialog legal notific
 #: Words that begin like these count too (commentlist, cookiebar).
 FURNITURE_STEMS = ("advert", "adsby", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "menu", "navbar", "navig", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
 ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
-TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<({SILENT})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?:{EMPTY})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>|<({SILENT})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 NAME = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[a-z]+", re.I)

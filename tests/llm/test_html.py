@@ -25,6 +25,13 @@ CASES = [
     ("<html><head><title>T</title><body><article><p>No end of the head.</p><ol class=commentlist><li>First reader, who liked all of it very much.</ol></article>", "No end of the head."),
     ("<ARTICLE><P CLASS=x>Upper</P></ARTICLE>", "Upper"),
 ]
+SILENT_CASES = [
+    ("<article><p>Before it.</p><svg viewBox='0 0 1 1' class=\"i>\"/><p>After it.</p><svg><text>no</text></svg><p>Last one.</p></article>", "Before it.\nAfter it.\nLast one."),
+    ("<article><p>Before it.</p><math/><p>After it.</p></article>", "Before it.\nAfter it."),
+    ("<article><p>Before it.</p><video src=a /><object data=b /><canvas /><audio src=c /><p>After it.</p></article>", "Before it.\nAfter it."),
+    ("<article><p>Before it.</p><video-player src=a></video-player><object-list></object-list><template-part/><p>After it.</p></article>", "Before it.\nAfter it."),
+    ("<article><p>Before it.</p><video src='a/b'>no <b>player</b></video><script src=x/>var a;</script><p>After it.</p></article>", "Before it.\nAfter it."),
+]
 
 
 @pytest.mark.parametrize(("page", "text"), CASES)
@@ -32,6 +39,11 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), SILENT_CASES)
+def test_silent_elements_end(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_page_is_read_whole():
     page = "<nav><a href=/>x</a></nav><article>" + "".join(f"<p>Paragraph number {i} of the long page.</p>" for i in range(20_000)) + "</article>"
     assert H.main_text(page).count("\n") == 19_999
