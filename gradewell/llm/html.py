@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over shallow features.
 
 A page is read once, tag by tag, into a flat list of blocks: runs of text between block-level tags. A block is described by
-its number of words and its link density, by those of its neighbours, and by whether it stands inside an article or
-inside page furniture (navigation, footer, advert, comments and the like, told by element, class, id and role). A small
-decision tree, trained on the labelled blocks of ``labelled_blocks.py``, keeps or drops every block.
+its number of words and its link density, by those of its neighbours, by whether it stands inside an article, and by
+how far it stands inside page furniture (navigation, footer, advert, comments and the like, told by element, class, id and
+role): 1 inside, 0.5 where the name may as well be the subject of a section (``discussion``), 0 outside. An article or
+main element below furniture is outside again, unless it is hidden. A small decision tree, trained on the labelled blocks of ``labelled_blocks.py``, keeps or drops every block.
 
 The reference project keeps no web pages, so this operator is general: any table with a key and an html column.
 """
@@ -38,6 +39,15 @@ privacy promo promoted promotion recommended register related replies reply resp
 widget widgets banners contentinfo complementary alert alertdialog legal notification notifications responses""".split())
 #: Words that begin like these count too (commentlist, cookiebar).
 FURNITURE_STEMS = ("advert", "adsby", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "menu", "navbar", "navig", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
+#: Of these, the ones that are subjects of sections as well; so are words that begin like ``TOPIC_STEMS``.
+TOPIC_NAMES = frozenset("consent cookies copyright disclaimer discussion feedback legal notice notification notifications privacy promotion register responses search".split())
+TOPIC_STEMS = ("commentar", "commentator", "navigator", "promoter")
+#: Last words that say nothing of what an element holds; boxes are judged by the word before, wrappers only if all other words agree.
+BOX_WORDS = frozenset("area bar block box button buttons col column form group icon icons inner item items label link links list panel row section slot text title top unit".split())
+WRAP_WORDS = frozenset("container content grid inner layout main outer page site wrap wrapper".split())
+STATE_WORDS = frozenset("no with without has".split())
+#: Names of readers' comments, in which an article element is a comment.
+COMMENT_NAMES = ("comment", "disqus", "replies", "reply", "respond")
 ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
 TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?:{EMPTY})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>|<({SILENT})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 NAME = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -51,43 +61,63 @@ class Block:
     words: int
     linked: int
     in_article: bool
-    in_furniture: bool
+    in_furniture: float
 
 
-def is_furniture(word: str) -> bool:
-    return word in FURNITURE_NAMES or word.startswith(FURNITURE_STEMS)
+def furniture_word(word: str) -> float:
+    """1 for a name of page furniture, 0.5 for one that may be a subject as well, else 0."""
+    if word in TOPIC_NAMES or word.startswith(TOPIC_STEMS):
+        return 0.5
+    return float(word in FURNITURE_NAMES or word.startswith(FURNITURE_STEMS))
 
 
-def names_of(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element opens an article, and whether it opens page furniture."""
-    article, furniture = tag in ARTICLE_TAGS, tag in FURNITURE_TAGS
+def furniture_token(words: list[str]) -> float:
+    """As ``furniture_word``, for the words of one class, id or role: the last one that says what the element holds decides."""
+    if STATE_WORDS & set(words):
+        return 0.0
+    if len(words) > 1 and words[-1] in WRAP_WORDS:
+        return min(map(furniture_word, words[:-1]))
+    while len(words) > 1 and words[-1] in BOX_WORDS:
+        words = words[:-1]
+    last = furniture_word(words[-1])
+    return max(map(furniture_word, words)) if last else 0.0
+
+
+def names_of(tag: str, attributes: str) -> tuple[bool, float, bool, bool]:
+    """Whether an element opens an article, how far it opens page furniture, whether an article element in it is
+    furniture too (an aside's teaser, a reader's comment), and whether it is hidden."""
+    article, furniture = tag in ARTICLE_TAGS, float(tag in FURNITURE_TAGS)
+    whole, hidden = tag in FURNITURE_TAGS and tag not in ("form", "header", "fieldset"), False
     if attributes:
         for name, value in NAME.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("hidden",) or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
-                furniture = True
+                hidden = True
             elif name in ("class", "id", "role"):
                 for token in value.split():
                     found = [w.lower() for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))]
-                    if not found or found[0] in ("no", "with", "without", "has"):
+                    if not found or found[0] in STATE_WORDS:
                         continue
-                    if len(found) == 1:
-                        article |= found[0] in ARTICLE_NAMES
-                        furniture |= is_furniture(found[0])
-                    elif found[0] in ARTICLE_NAMES and found[1] in ("content", "body", "text", "header", "title"):
+                    if len(found) == 1 and found[0] in ARTICLE_NAMES:
+                        article = True
+                    elif len(found) > 1 and found[0] in ARTICLE_NAMES and found[1] in ("content", "body", "text", "header", "title"):
                         article |= found[1] in ("content", "body", "text")
-                    else:
-                        furniture |= any(map(is_furniture, found))
-    return article, furniture and not (tag in ARTICLE_TAGS or tag == "body")
+                    elif level := furniture_token(found):
+                        furniture = max(furniture, level)
+                        whole |= level == 1 and any(w.startswith(COMMENT_NAMES) for w in found)
+    if tag == "body":
+        return article, 0.0, False, False
+    return article, furniture, whole, hidden and tag not in ARTICLE_TAGS
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """The flat text blocks of a page, without empty ones, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, tuple[bool, float, bool, bool]]] = []
     held: list[str] = []
     linked = links = 0
-    article = furniture = 0
+    #: In an article, level of furniture, whether articles in it are furniture, hidden; ``stack`` has what held before each element.
+    state = (False, 0.0, False, False)
 
     def close() -> None:
         nonlocal linked
@@ -95,7 +125,7 @@ def blocks_of(html: str | None) -> list[Block]:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), article > 0, furniture > 0))
+                out.append(Block(text, words, min(linked, words), state[0], 1.0 if state[3] else state[1]))
             held.clear()
         linked = 0
 
@@ -127,26 +157,28 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag not in CONTAINERS:
             continue
         if slash:
-            if any(name == tag for name, _, _ in stack):
+            if any(name == tag for name, _ in stack):
                 while stack:
-                    name, a, f = stack.pop()
-                    article, furniture = article - a, furniture - f
+                    name, state = stack.pop()
                     if name == tag:
                         break
             continue
         if tag == "p":
             if stack and stack[-1][0] == "p":
-                _, a, f = stack.pop()
-                article, furniture = article - a, furniture - f
+                _, state = stack.pop()
         elif tag in BLOCK_TAGS:
             while stack and stack[-1][0] in ("p", "span"):
-                _, a, f = stack.pop()
-                article, furniture = article - a, furniture - f
-        opens_article, opens_furniture = names_of(tag, attributes)
+                _, state = stack.pop()
+        article, level, whole, hidden = state
+        opens_article, opens, opens_whole, opens_hidden = names_of(tag, attributes)
         if tag == "header" and article and not any(w in attributes.lower() for w in ("nav", "menu")):
-            opens_furniture = False  # the heading of an article
-        stack.append((tag, opens_article, opens_furniture))
-        article, furniture = article + opens_article, furniture + opens_furniture
+            opens = 0.0  # the heading of an article
+        if tag in ARTICLE_TAGS:
+            if tag == "main" or not whole and opens < 1:
+                level, whole = 0.0, False
+            opens = 0.0
+        stack.append((tag, state))
+        state = article or opens_article, max(level, opens), whole or opens_whole and opens > 0, hidden or opens_hidden
     put(html[at:])
     close()
     return out

@@ -55,4 +55,18 @@ LABELLED_PAGES = [
     "<body><p>A short note of nine words stands here alone.✓</p></body>",
     "<body><article><h1>Marks✓</h1><p>Small.✓</p></article></body>",
     "<body><nav><a href=/>Start</a></nav><article><p>No.✓</p><p>Nothing was found in the left eye, and nothing in the right one, at either visit.✓</p><p>See <a href=/x>here</a>.✓</p></article><footer>2020</footer></body>",
+    # Wrappers that name their sidebar, around an article element and around plain divisions.
+    "<body class=content-sidebar><div class='page-with-sidebar'><div class='content-sidebar-wrap'><main><article><h1>Frames for children✓</h1><p>A frame must sit on the nose without a gap, or it slides down when the child runs.✓</p>"
+    "<p>Try it on.✓</p></article></main><aside class='sidebar sidebar-primary'><p>Our shop has new frames for all ages, in nine colours, come and see them on any day of the week.</p></aside></div></div></body>",
+    "<body><div class='content-sidebar-wrap'><div><p>The optic nerve has about a million fibres, and they do not grow again once they are lost.✓</p><p>So time counts.✓</p>"
+    "<p>A doctor looks at the head of the nerve with a lens and notes how deep the cup is.✓</p></div><div class=sidebar-widget>Get the app for your phone and read all our pages on the train or at home.</div></div></body>",
+    # Sections whose ids are subjects, in an article and without one.
+    "<body><article><h1>Trial of two lenses✓</h1><section id=methods><p>We took two pictures of each eye, an hour apart, in the same room and light.✓</p></section>"
+    "<section id=discussion><h2>Discussion✓</h2><p>The second lens was better in dim light, which agrees with two older trials in the north.✓</p><p>Costs differ.✓</p></section>"
+    "<section id=commentary class=commentary><p>An editor adds that both lenses have been sold for years without any harm.✓</p></section>"
+    "<section class=legal><p>The law of each country says who may fit them and who may not.✓</p></section></article><div class=comments><p>I have worn the first one since spring, and I would not change it for any other.</p></div></body>",
+    "<body><div id=intro><p>Squint in small children is seen best when they look at a light from some distance.✓</p></div><div id=search><h2>Search✓</h2><p>We read all reports since the year ninety and kept those with twenty children or more.✓</p></div>"
+    "<div id=discussion><p>Early care helps, since the brain learns to use both eyes only in the first years.✓</p><p>Late care helps less.✓</p></div></body>",
+    # Labels that may be subjects, on furniture.
+    "<body><div class=search><a href=/s>Search</a></div><div class=content><p>Tears have three layers, of oil, water and slime, and all three are needed for a clear view.✓</p></div><div class=legal><a href=/l>Legal</a> <a href=/p>Privacy</a></div></body>",
 ]

@@ -39,6 +39,27 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+WRAPPED = "<article><h1>Head of it</h1><p>The text of the article has some words.</p></article>"
+WRAPPED_TEXT = "Head of it\nThe text of the article has some words."
+NAMED = [
+    *[(f"<div class='{name}'>{WRAPPED}</div>", WRAPPED_TEXT) for name in ("content-sidebar-wrap", "page-with-sidebar", "sidebar", "layout header-footer-grid", "comments-open")],
+    (f"<form id=aspnet><div class=main-menu-wrap>{WRAPPED.replace('article>', 'main>')}</div></form>", WRAPPED_TEXT),
+    *[(WRAPPED.replace("<p>", f"<section {named}><p>").replace("</p>", "</p></section>"), WRAPPED_TEXT)
+      for named in ("id=discussion", "class=discussion", "id=legal", "class=legal", "id=search", "id=commentary", "class=commentary", "id=feedback-section")],
+    ("<div class=content-sidebar-wrap><div><p>Plain words of a page without any article at all.</p></div></div>", "Plain words of a page without any article at all."),
+    ("<article class='featured promo'><p>Text of the page stands here.</p></article>", "Text of the page stands here."),
+    (f"{WRAPPED}<section id=comments><article class=comment-body><p>A reader wrote many words here about all the things that matter.</p></article></section>", WRAPPED_TEXT),
+    (f"{WRAPPED}<aside><article><p>A teaser of another page with some words in it.</p></article></aside>", WRAPPED_TEXT),
+    (f"{WRAPPED}<div hidden><article><p>Words that nobody sees at all on this page.</p></article></div>", WRAPPED_TEXT),
+    (f"<div class=ad-slot>Buy one now, and get another one for free until the end of the week.</div>{WRAPPED}<div class='nav-container'>Some words of a bar that stands on every page of it</div>", WRAPPED_TEXT),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMED)
+def test_names_of_wrappers_and_sections(page, text):
+    assert H.main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), SILENT_CASES)
 def test_silent_elements_end(page, text):
     assert H.main_text(page) == text
