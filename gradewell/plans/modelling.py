@@ -19,7 +19,17 @@ from gradewell.session import materialize
 
 query = CATALOG.query
 INPUTS = ["n_lines", "qty_sum", "qty_max", "price_max", "tax_max", "total", "disc_max"]
-SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted_trees": {"maxIter": 5, "maxDepth": 3}}
+FOLDS = 5
+#: Sizes of the reference's models; trees without a depth limit have the deepest that Spark grows.
+DEEPEST = 30
+LOGISTIC = {"maxIter": 5000}
+FOREST = {"numTrees": 240, "maxDepth": DEEPEST, "minInstancesPerNode": 2, "subsamplingRate": 1.0}
+EXTRA_TREES = {"numTrees": 240, "maxDepth": DEEPEST, "minInstancesPerNode": 2}
+BALANCED_FOREST = {"numTrees": 220, "maxDepth": DEEPEST, "minInstancesPerNode": 2}
+BOOSTED = {"maxIter": 220, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.85"}
+NATIVE_FOREST, PERMUTED_FOREST = FOREST | {"numTrees": 180}, FOREST | {"numTrees": 120}
+TRIALS = 50
+TRIAL_RANGES = {"numTrees": list(range(120, 321, 40)), "maxDepth": [DEEPEST, 6, 10, 14, 18], "minInstancesPerNode": (1, 8), "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
 
 def split(fx):
@@ -89,7 +99,7 @@ def pipeline_grid(fx):
     base = ["ma_count", "ma_area", "hemorrhage_area", "vessel_density", "glcm_contrast"]
     engineered = [*base, "burden_lesion_burden", "burden_exudate_burden"]
     table = prep.BurdenFeatures().transform(fx.measures).select("row_id", "label", *engineered)
-    folds = S.stratified_folds(materialize(table), ["label"], "row_id", 2)
+    folds = S.stratified_folds(materialize(table), ["label"], "row_id", FOLDS)
     parts = None
     for scaler in ("standard", "robust"):
         for name, columns in (("base", base), ("engineered", engineered)):
@@ -101,24 +111,24 @@ def pipeline_grid(fx):
 
 @query("m04_logistic_regression")
 def logistic_regression(fx):
-    return evaluated(fx, "logistic_regression", maxIter=20).unionByName(
-        evaluated(fx, "logistic_regression", binary=True, maxIter=20), allowMissingColumns=True)
+    return evaluated(fx, "logistic_regression", **LOGISTIC).unionByName(
+        evaluated(fx, "logistic_regression", binary=True, **LOGISTIC), allowMissingColumns=True)
 
 
 @query("m05_forests")
 def forests(fx):
-    return evaluated(fx, "random_forest", numTrees=10, maxDepth=5).unionByName(
-        evaluated(fx, "extra_trees", numTrees=10, maxDepth=5)).unionByName(evaluated(fx, "balanced_forest", numTrees=10, maxDepth=5))
+    return evaluated(fx, "random_forest", **FOREST).unionByName(
+        evaluated(fx, "extra_trees", **EXTRA_TREES)).unionByName(evaluated(fx, "balanced_forest", **BALANCED_FOREST))
 
 
 @query("m06_boosted_trees")
 def boosted_trees(fx):
-    return evaluated(fx, "boosted_trees", binary=True, maxIter=5, maxDepth=3)
+    return evaluated(fx, "boosted_trees", binary=True, **BOOSTED)
 
 
 @query("m06_boosted_trees_grades")
 def boosted_trees_grades(fx):
-    return evaluated(fx, "boosted_trees", maxIter=3, maxDepth=3)
+    return evaluated(fx, "boosted_trees", **BOOSTED)
 
 
 @query("m07_naive_bayes", "feats", f"""with {split_sql('0.2', '0.2')}, parts as (select *, case when split='test' then 0 else 1 end as fold from sp),
@@ -130,11 +140,11 @@ def naive_bayes(fx):
 
 @query("m08_support_vectors")
 def support_vectors(fx):
-    return evaluated(fx, "linear_svm", binary=True, maxIter=10).unionByName(
-        evaluated(fx, "kernel_svm", binary=True, components=64, maxIter=10))
+    return evaluated(fx, "linear_svm", binary=True, maxIter=3000).unionByName(
+        evaluated(fx, "kernel_svm", binary=True, components=64, **LOGISTIC))
 
 
-def folded(fx, folds=5):
+def folded(fx, folds=FOLDS):
     return S.stratified_folds(materialize(fx.feats.select("row_id", "label", *INPUTS)), ["label"], "row_id", folds)
 
 
@@ -147,14 +157,14 @@ def out_of_fold(fx):
 
 @query("m10_cross_validation")
 def cross_validation(fx):
-    metrics = T.cross_validate(folded(fx, 2), INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
+    metrics = T.cross_validate(folded(fx), INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
     return tidy(S.fold_summary(metrics, ["model"], ["accuracy", "balanced_accuracy", "macro_f1", "macro_recall", "quadratic_kappa"]))
 
 
 @query("m11_parameter_search")
 def parameter_search(fx):
-    table = folded(fx, 2)
-    candidates = T.random_candidates({"numTrees": (5, 12), "maxDepth": (3, 6), "subsamplingRate": [0.7, 0.8, 1.0]}, 4)
+    table = folded(fx)
+    candidates = T.random_candidates(TRIAL_RANGES, TRIALS)
     first = T.search(table, INPUTS, "random_forest", candidates[:1], "row_id")
     return tidy(T.search(table, INPUTS, "random_forest", candidates, "row_id", done=first))
 
@@ -163,7 +173,7 @@ def parameter_search(fx):
 def stacking(fx):
     """Base and meta models of the training rows, judged on rows neither has seen."""
     train, test = split(fx)
-    folds = S.stratified_folds(materialize(train.select("row_id", "label", *INPUTS)), ["label"], "row_id", 2)
+    folds = S.stratified_folds(materialize(train.select("row_id", "label", *INPUTS)), ["label"], "row_id", FOLDS)
     model = T.fit_stack(folds, INPUTS, ["logistic_regression", "naive_bayes"], "row_id")
     scored = model.predictions(test, "row_id").withColumn("model", F.lit("stacking"))
     return tidy(M.evaluate(scored, ["model"]).select("model", "n_rows", "accuracy", "macro_f1", "quadratic_kappa"))
@@ -180,13 +190,13 @@ def calibration(fx):
 @query("m17_native_importance")
 def native_importance(fx):
     train, _ = split(fx)
-    return tidy(T.native_importance(T.fit(train, INPUTS, "random_forest", numTrees=10, maxDepth=5), INPUTS, fx.spark))
+    return tidy(T.native_importance(T.fit(train, INPUTS, "random_forest", **NATIVE_FOREST), INPUTS, fx.spark))
 
 
 @query("m17_permutation_importance")
 def permutation_importance(fx):
     train, test = split(fx)
-    model = T.fit(train, INPUTS, "random_forest", numTrees=10, maxDepth=5)
+    model = T.fit(train, INPUTS, "random_forest", **PERMUTED_FOREST)
     return tidy(T.permutation_importance(model, test, INPUTS, "row_id", repeats=2))
 
 
