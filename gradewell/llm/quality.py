@@ -133,17 +133,18 @@ def sampled_labels(labels: DataFrame, key: str, label: str, rows_per_class: int)
 
 
 def train_quality(feedback: DataFrame, labels: DataFrame, key: str = "session_id", text: str = "free_text_feedback", label: str = "quality",
-                  rows_per_class: int = ROWS_PER_CLASS) -> QualityModel:
+                  rows_per_class: int = ROWS_PER_CLASS, pieces_per_text: int | None = PIECES_PER_TEXT) -> QualityModel:
     """A model from ``feedback`` and ``labels`` (key, label 0 or 1), of which only rows to be learnt from may be given.
 
     The sampled labels (about 2 x ``rows_per_class`` rows at most) are broadcast; their texts are read in one pass.
-    Null keys and other label values are left out.
+    The dictionaries learn from ``pieces_per_text`` pieces of each of them, spread over the text, or from all (None); the
+    calibration reads whole texts. Null keys and other label values are left out.
     """
     chosen = F.broadcast(sampled_labels(labels, key, label, rows_per_class))
     texts = feedback.select(feedback[key].alias("key"), feedback[text].alias("text")).join(chosen, "key")
 
     def cut(rows: dict[str, list]) -> dict[str, list]:
-        return {"label": rows["label"], "part": rows["part"], "pieces": [spread_pieces(t) for t in rows["text"]]}
+        return {"label": rows["label"], "part": rows["part"], "pieces": [pieces_of(t) if pieces_per_text is None else spread_pieces(t, pieces_per_text) for t in rows["text"]]}
 
     seen = per_batch(texts, {"text": "text", "label": "label", "part": "part"}, "label int, part bigint, pieces array<binary>", cut, weigh="text").toArrow()
     label, part = seen.column("label").to_numpy(), seen.column("part").to_numpy()
@@ -191,7 +192,10 @@ def score_quality(feedback: DataFrame, model: QualityModel, key: str = "session_
 
 
 def keep_good(feedback: DataFrame, model: QualityModel, text: str = "free_text_feedback", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``feedback`` that the model does not reject, columns unchanged."""
+    """The rows of ``feedback`` that the model does not reject, columns unchanged: all of them where it has no weights."""
+    if not len(model.weights):
+        return feedback
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(list(texts)))

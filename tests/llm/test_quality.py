@@ -47,6 +47,22 @@ def test_edges(spark, texts):
     assert Q.score_quality(feedback.limit(0), model).count() == 0
 
 
+def test_nothing_is_rejected_without_a_model(spark, texts):
+    feedback = spark.createDataFrame([(i, t) for i, t, _ in texts[:20]] + [(None, None)], "session_id int, free_text_feedback string")
+    for labels in ([], [(0, 1)], [(i, 0) for i in range(20)]):
+        model = Q.train_quality(feedback, spark.createDataFrame(labels, "session_id int, quality int"))
+        assert Q.keep_good(feedback, model).count() == 21
+
+
+def test_pieces_per_text(spark, monkeypatch):
+    feedback = spark.createDataFrame([(i, f"{i} words " * 2000) for i in range(12)], "session_id int, free_text_feedback string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "session_id int, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "build_dictionary", lambda pieces: seen.append(sum(map(len, pieces))) or b"-" * 8)
+    Q.train_quality(feedback, labels, pieces_per_text=None)
+    assert sum(seen[-2:]) == sum(len(f"{i} words ") * 2000 for i in range(12))
+
+
 @pytest.mark.parametrize("size", [0, 1, 999, 1000, 1001, 12_345])
 def test_pieces_are_the_whole_text(size):
     text = "äb" * size
