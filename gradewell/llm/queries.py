@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import ann, bytebpe, html, lines, packing, quality, simhash, tokens, topk, urls
+from gradewell.llm import ann, bytebpe, html, lines, packing, passages, quality, simhash, tokens, topk, urls
 
 #: (verdict, host, path) of the link rules.
 LINK_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -84,9 +84,15 @@ def op10_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return documents_of(kept.select("session_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op12_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    kept = passages.drop_repeated_passages(feedback(table(spark, folder, "documents")))
+    return documents_of(kept.select("session_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_pack_sequences, op3_similar_vectors, op4_token_counts, op5_url_rules,
-    op6_byte_bpe, op7_quality_score, op8_near_duplicates, op9_top_products, op10_repeated_lines)}
+    op6_byte_bpe, op7_quality_score, op8_near_duplicates, op9_top_products, op10_repeated_lines,
+    op12_repeated_passages)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLOCKED = "|".join(g.strip("*") for g in urls.DEFAULT_BLOCKED)
@@ -113,4 +119,14 @@ r as (select key from k where key <> '' group by key having count(distinct doc_i
 m as (select k.*, r.key is not null as gone from k left join r on r.key = k.key)
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by doc_id""",
+    "op12_repeated_passages": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d),
+v as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as v from s),
+f as (select v, min({'d': doc_id, 'i': i}) as f from v group by v having count(*) > 1),
+g as (select distinct doc_id, i + unnest(range(20)) as i from v join f using (v) where {'d': v.doc_id, 'i': v.i} <> f.f),
+l as (select doc_id, list(i) as g from g group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(g), 0)::bigint as n_removed,
+  sha256(array_to_string(case when g is null then w else list_filter(w, lambda x, i: not list_contains(g, i)) end, ' ')) as kept_sha256
+from d left join l on l.doc_id = d.doc_id""",
 }
