@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import ann, bytebpe, html, lines, packing, passages, quality, simhash, tokens, topk, urls
+from gradewell.llm import ann, bytebpe, html, lines, packing, passages, prefixes, quality, resampling, simhash, tokens, topk, urls
 
 #: (verdict, host, path) of the link rules.
 LINK_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -84,19 +84,34 @@ def op10_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return documents_of(kept.select("session_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op11_importance_draw(spark: SparkSession, folder: str) -> DataFrame:
+    texts = feedback(table(spark, folder, "documents"))
+    return documents_of(resampling.resample_feedback(texts, table(spark, folder, "benchmark"), target_text="text"))
+
+
 def op12_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     kept = passages.drop_repeated_passages(feedback(table(spark, folder, "documents")))
     return documents_of(kept.select("session_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefixes.prefix_trie(table(spark, folder, "conversations"), F.expr("conv_id - conv_id % 20"), heads)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_pack_sequences, op3_similar_vectors, op4_token_counts, op5_url_rules,
     op6_byte_bpe, op7_quality_score, op8_near_duplicates, op9_top_products, op10_repeated_lines,
-    op12_repeated_passages)}
+    op11_importance_draw, op12_repeated_passages, op13_prefix_trie)}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLOCKED = "|".join(g.strip("*") for g in urls.DEFAULT_BLOCKED)
 
+#: CRC-32 of a list of bytes: the table of its 256 byte remainders, then one table step per byte.
+_CRC = """
+crcs as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t)"""
+_CRC_OF = "xor(list_reduce({0}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
 ORACLES = {
     "op5_url_rules": f"""
 with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
@@ -119,6 +134,27 @@ r as (select key from k where key <> '' group by key having count(distinct doc_i
 m as (select k.*, r.key is not null as gone from k left join r on r.key = k.key)
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by doc_id""",
+    "op11_importance_draw": rf"""
+with {_CRC.strip()},
+texts as (select 's' as side, doc_id as id, text from documents union all select 't', item_id, text from benchmark),
+w as (select side, id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+f as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f from w),
+n as (select side, id, f, count(*) as n from f group by all),
+h as (select f, hex(encode(f)) as h from (select distinct f from n)),
+b as (select f, list_transform(range(len(h) // 2), lambda i: instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17) as x from h),
+k as (select f, {_CRC_OF.format("x")} % 10000 as k from b, crcs),
+c as (select id, side, k, sum(n)::bigint as n from n join k using (f) group by all),
+t as (select range as k, coalesce(sum(n) filter (side = 's'), 0)::double as s, coalesce(sum(n) filter (side = 't'), 0)::double as t from range(10000) left join c on k = range group by range),
+g as (select k, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from t),
+d as (select doc_id, len(w.w) as n_words, coalesce(x.n, 0)::bigint as n_features, coalesce(x.weight, 0)::bigint as weight,
+  (instr('0123456789abcdef', h[1]) - 1) * 268435456 + (instr('0123456789abcdef', h[2]) - 1) * 16777216 + (instr('0123456789abcdef', h[3]) - 1) * 1048576 + (instr('0123456789abcdef', h[4]) - 1) * 65536
+  + (instr('0123456789abcdef', h[5]) - 1) * 4096 + (instr('0123456789abcdef', h[6]) - 1) * 256 + (instr('0123456789abcdef', h[7]) - 1) * 16 + instr('0123456789abcdef', h[8]) - 1 as h
+  from (select doc_id, sha256('42:' || doc_id) as h from documents) join w on w.side = 's' and w.id = doc_id
+  left join (select id, sum(n) as n, sum(n * gain) as weight from c join g using (k) where side = 's' group by id) x on x.id = doc_id),
+e as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from d),
+r as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as r, count(*) over (partition by n_words >= 20) as all_n from e)
+select doc_id, n_features, weight, score, case when n_words >= 20 and r <= 5 * all_n // 100 then r end as rank from r""",
     "op12_repeated_passages": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d),
@@ -129,4 +165,18 @@ l as (select doc_id, list(i) as g from g group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(len(g), 0)::bigint as n_removed,
   sha256(array_to_string(case when g is null then w else list_filter(w, lambda x, i: not list_contains(g, i)) end, ' ')) as kept_sha256
 from d left join l on l.doc_id = d.doc_id""",
+    "op13_prefix_trie": rf"""
+with {_CRC.strip()},
+s as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null),
+l as (select conv_id, list({{'r': r, 't': t}} order by turn nulls first, sha256(length(r) || ':' || r || t)) as m from s group by conv_id),
+b as (select conv_id, hex(encode(conv_id::varchar)) as x, m from l),
+h as (select conv_id, m, {_CRC_OF.format("list_transform(range(len(x) // 2), lambda i: instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17)")} % 4 as h from b, crcs),
+c as (select h.conv_id, list_concat(coalesce(d.m[1:h.h], []), h.m[h.h + 1:]) as m from h left join l d on d.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, m[1:d] as k, d, d = len(m) as ends from (select *, unnest(range(len(m) + 1)) as d from c)),
+n as (select k, d as depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from p group by k, d),
+u as (select k[1:depth - 1] as k, count(*) as n_children from n where depth > 0 group by all),
+w as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(n.k[depth].t, '[^ 	-]+')) end as saved from n left join u on u.k = n.k),
+a as (select k[1:j] as k, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from (select *, unnest(range(depth + 1)) as j from w) group by all)
+select w.conv_id, w.depth, q.conv_id as parent_conv_id, w.n_convs, w.n_children, a.n_leaves, a.saved_tokens::bigint as saved_tokens, w.ends_sha256
+from w join a on a.k = w.k left join n q on w.depth > 0 and q.k = w.k[1:w.depth - 1]""",
 }
