@@ -14,7 +14,8 @@ place form a passage. The steps:
    meets the only automaton that can match it.
 
 Hashes decide only which windows are compared; an automaton matches words. Within an anchor windows are told apart by 64
-bits. A very common passage is one row per block, and its windows are counted before they are shuffled.
+bits. A very common passage is one row per block. The passages of one anchor meet in one task while they are few; an anchor
+with more than ``crowded`` places sends single windows instead, which are counted before the shuffle.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ WINDOW_WORDS = 20
 PHRASE = 5
 BLOCK_BYTES = 4_000_000
 ANCHOR_BITS = 48
+CROWDED = 1000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A random number for every byte value, and white space.
 BYTE_CODES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)
@@ -158,7 +160,7 @@ def whole_copies(blocks: DataFrame) -> DataFrame:
 
 
 def recurring_anchors(blocks: DataFrame, window: int) -> DataFrame:
-    """(block, anchor) of anchors that stand in two places; a block sends each of its anchors once."""
+    """(block, anchor, places) of anchors that stand in two places; a block sends each of its anchors once."""
     schema = pa.schema([("block", pa.int64()), ("anchor", pa.int64()), ("n", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +171,18 @@ def recurring_anchors(blocks: DataFrame, window: int) -> DataFrame:
                     new = np.concatenate([[True], block.places[1:] != block.places[:-1]])
                     anchors, n = np.unique(block.anchors[new], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(anchors), row["block"])), pa.array(anchors.astype(np.int64)),
-                                                      pa.array(np.minimum(n, 2).astype(np.int32))], schema=schema)
+                                                      pa.array(n.astype(np.int32))], schema=schema)
 
     sent = blocks.select("block", "sizes", "digests", "firsts", "packed").mapInArrow(find, "block bigint, anchor bigint, n int")
-    return sent.withColumn("places", F.sum("n").over(Window.partitionBy("anchor"))).filter("places > 1").select("block", "anchor")
+    return sent.withColumn("places", F.sum("n").over(Window.partitionBy("anchor"))).filter("places > 1").select("block", "anchor", "places")
 
 
-def passages_with(blocks: DataFrame, anchors: DataFrame, copies: DataFrame, window: int, kind: str) -> DataFrame:
+def passages_with(blocks: DataFrame, anchors: DataFrame, copies: DataFrame, window: int, kind: str, crowded: int) -> DataFrame:
     """Passages with a recurring anchor: one row per block and distinct passage, at its first place there."""
-    wanted = anchors.withColumn("row", F.lit(None).cast("int")).unionByName(copies.withColumn("anchor", F.lit(None).cast("bigint")))
-    wanted = wanted.groupBy("block").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("row").alias("copies"))
-    schema = f"anchor bigint, passage bigint, windows array<bigint>, n int, key {kind}, block bigint, at bigint, places bigint"
+    wanted = anchors.withColumn("row", F.lit(None).cast("int")).unionByName(copies.withColumns({c: F.lit(None).cast("bigint") for c in ("anchor", "places")}))
+    wanted = wanted.groupBy("block").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("row").alias("copies"),
+                                         F.collect_list(F.when(F.col("places") > crowded, F.col("anchor"))).alias("crowded"))
+    schema = f"anchor bigint, passage bigint, windows array<bigint>, crowded boolean, key {kind}, block bigint, at bigint, places bigint"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +208,10 @@ def passages_with(blocks: DataFrame, anchors: DataFrame, copies: DataFrame, wind
                 parts = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int32)
                 inside = np.repeat(new[kept] - parts[:-1], sizes[kept]) + np.arange(parts[-1])
                 columns = [anchors[new][kept].astype(np.int64), passage[kept].view(np.int64), pa.ListArray.from_arrays(parts, pa.array(windows[inside].view(np.int64))),
-                           sizes[kept].astype(np.int32), [keys[i] for i in owner[kept]], np.full(len(kept), row["block"]), starts[new][kept], counts.astype(np.int64)]
+                           np.isin(anchors[new][kept], np.array(row["crowded"], np.uint64)), [keys[i] for i in owner[kept]], np.full(len(kept), row["block"]), starts[new][kept], counts.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
-    joined = blocks.join(wanted, "block").select("block", "keys", "sizes", "digests", "firsts", "packed", "anchors", "copies")
+    joined = blocks.join(wanted, "block").select("block", "keys", "sizes", "digests", "firsts", "packed", "anchors", "copies", "crowded")
     return joined.mapInArrow(find, schema)
 
 
@@ -220,14 +223,24 @@ def confirmed_passages(found: DataFrame) -> DataFrame:
     """
     place = F.struct(F.col("key").isNull().alias("nokey"), "key", "block", "at")
     alike = Window.partitionBy("anchor", "passage")
-    marked = found.withColumn("first", F.min(place).over(alike)).withColumn("all_places", F.sum("places").over(alike))
+    marked = found.withColumn("first", F.min(place).over(alike)).withColumn("all_places", F.sum("places").over(alike)).withColumn("n", F.size("windows"))
     own = (F.col("first.block") == F.col("block")) & (F.col("first.at") == F.col("at"))
     marked = store(marked.withColumn("windows", F.when(own, F.col("windows"))).drop("places", "key"))
-    single = marked.filter("windows is not null").select("anchor", "passage", "first", F.posexplode("windows").alias("nr", "window"))
-    single = single.withColumn("at", F.struct("first.nokey", "first.key", "first.block", (F.col("first.at") + F.col("nr")).alias("at"))).drop("first")
-    least = single.groupBy("anchor", "window").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    moved = single.join(least, ["anchor", "window"]).filter((F.col("least.block") != F.col("at.block")) | (F.col("least.at") != F.col("at.at")))
-    moved = moved.groupBy("anchor", "passage").agg(F.collect_list(F.struct("nr", "least.block", "least.at")).alias("moved"))
+    distinct = marked.filter("windows is not null").select("anchor", "passage", "first", "windows", "crowded")
+
+    def single(rows: DataFrame) -> DataFrame:
+        rows = rows.select("anchor", "passage", "first", F.posexplode("windows").alias("nr", "window"))
+        return rows.withColumn("here", F.struct("first.nokey", "first.key", "first.block", (F.col("first.at") + F.col("nr")).alias("at"))).drop("first")
+
+    few = single(distinct.filter("not crowded").repartition("anchor")).withColumn("least", F.min("here").over(Window.partitionBy("anchor", "window")))
+    many = single(distinct.filter("crowded"))
+    many = many.join(many.groupBy("anchor", "window").agg(F.min("here").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), ["anchor", "window"])
+
+    def changed(rows: DataFrame) -> DataFrame:
+        rows = rows.filter((F.col("least.block") != F.col("here.block")) | (F.col("least.at") != F.col("here.at")))
+        return rows.groupBy("anchor", "passage").agg(F.collect_list(F.struct("nr", "least.block", "least.at")).alias("moved"))
+
+    moved = changed(few).unionByName(changed(many))
     return marked.join(moved, ["anchor", "passage"], "left").filter("all_places > 1 or moved is not null").select(
         "block", "at", "n", F.col("first.block").alias("first_block"), F.col("first.at").alias("first_at"), "moved")
 
@@ -268,7 +281,7 @@ class PassageAutomaton:
 
 
 def drop_repeated_passages(feedback: DataFrame, key: str = "session_id", text: str = "free_text_feedback", window_words: int = WINDOW_WORDS,
-                           kept: str = "kept_text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                           kept: str = "kept_text", block_bytes: int = BLOCK_BYTES, crowded: int = CROWDED) -> DataFrame:
     """(key, n_words, n_removed, kept): every text without the words of passages that stand earlier in the table.
 
     Words are runs without blanks (space, \\t, \\n, \\v, \\f, \\r). A word goes if a run of ``window_words`` words that covers
@@ -284,7 +297,7 @@ def drop_repeated_passages(feedback: DataFrame, key: str = "session_id", text: s
     kind = feedback.schema[key].dataType.simpleString()
     blocks = pack_blocks(feedback, key, text, window_words, block_bytes)
     copies = store(whole_copies(blocks))
-    found = passages_with(blocks, recurring_anchors(blocks, window_words), copies, window_words, kind)
+    found = passages_with(blocks, recurring_anchors(blocks, window_words), copies, window_words, kind, crowded)
     passages = confirmed_passages(found).groupBy("block").agg(F.collect_list(F.struct("at", "n", "first_block", "first_at", "moved")).alias("passages"))
     joined = blocks.join(passages, "block", "left").join(copies.groupBy("block").agg(F.collect_list("row").alias("copies")), "block", "left")
     schema = f"key {kind}, n_words bigint, n_removed bigint, kept string"
