@@ -9,9 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -21,6 +19,8 @@ from pyspark.sql import functions as F
 from gradewell import constants as K
 from gradewell.functions.labels import grade_name
 from gradewell.functions.probability import first_argmax
+from gradewell.models import forests
+from gradewell.models.forests import ForestModel
 from gradewell.models.prep import RandomFourierFeatures, fit_preparation
 from gradewell.operators import metrics as M
 from gradewell.operators.leaderboard import leaderboard
@@ -35,19 +35,12 @@ MODEL_NAMES = ["logistic_regression", "random_forest", "extra_trees", "balanced_
 def estimator(name: str, classes: int, seed: int = K.SEED, **params) -> list[Estimator]:
     """Stages of a named classifier on ``features``, ``label`` and ``weight``.
 
-    Extra trees and the balanced forest are forests with all rows per tree, or with class weights and
-    subsampling. Boosting with more than two classes, and linear SVMs, are one-vs-rest. The kernel SVM
-    is approximated by random Fourier features under a linear model.
+    Forests are in :mod:`gradewell.models.forests`. Boosting with more than two classes, and linear SVMs, are one-vs-rest. The
+    kernel SVM is approximated by random Fourier features under a linear model.
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if name == "logistic_regression":
         return [LogisticRegression(**common, **{"maxIter": 50, "regParam": 0.01, **params})]
-    if name == "random_forest":
-        return [RandomForestClassifier(**common, seed=seed, **{"numTrees": 50, "maxDepth": 8, "subsamplingRate": 0.8, **params})]
-    if name == "extra_trees":
-        return [RandomForestClassifier(**common, seed=seed, **{"numTrees": 50, "maxDepth": 8, "featureSubsetStrategy": "onethird", **params})]
-    if name == "balanced_forest":
-        return [RandomForestClassifier(**common, seed=seed, **{"numTrees": 50, "maxDepth": 8, "subsamplingRate": 0.5, **params})]
     if name == "boosted_trees":
         boosted = GBTClassifier(**common, seed=seed, **{"maxIter": 20, "maxDepth": 4, **params})
         return [boosted] if classes == 2 else [OneVsRest(classifier=boosted, labelCol="label", featuresCol="features", weightCol="weight")]
@@ -63,20 +56,34 @@ def estimator(name: str, classes: int, seed: int = K.SEED, **params) -> list[Est
     raise ValueError(f"unknown model {name}")
 
 
-def fit(train: DataFrame, features: Sequence[str], name: str, label: str = "label", scaler: str = "standard", **params) -> PipelineModel:
-    """Impute, scale, weigh classes and fit; everything is fitted on ``train`` only."""
+def forest_params(params: Mapping) -> dict:
+    """Parameters of :func:`forests.grow_forest` from the names that the other tree models use."""
+    names = {"numTrees": "n_trees", "maxDepth": "max_depth", "minInstancesPerNode": "min_leaf", "featureSubsetStrategy": "strategy"}
+    return {names.get(k, k): v for k, v in params.items()}
+
+
+def fit(train: DataFrame, features: Sequence[str], name: str, label: str = "label", scaler: str = "standard", key: str | None = None,
+        **params) -> PipelineModel | ForestModel:
+    """Impute, scale, weigh classes and fit; everything is fitted on ``train`` only.
+
+    Forests draw rows by a hash of ``key`` (without it, of features and label) and need no scaling.
+    """
+    if name in forests.KINDS:
+        return forests.fit_forest(train, features, name, [key] if key else [*features, label], label, **forest_params(params))
     preparation = fit_preparation(train, features, scaler)
     rows = with_class_weights(train.withColumn("label", F.col(label).cast("double")), "label")
     classes = rows.agg((F.max("label") + 1).cast("int")).first()[0]
     return Pipeline(stages=[*preparation.stage(), *estimator(name, classes, **params)]).fit(rows)
 
 
-def predictions(model: PipelineModel, rows: DataFrame, keep: Sequence[str], truth: str | None = "label",
+def predictions(model: PipelineModel | ForestModel, rows: DataFrame, keep: Sequence[str], truth: str | None = "label",
                 labels: Sequence[int] = K.GRADES) -> DataFrame:
     """Prediction table: kept columns, y_true, y_pred and, where the model has them, probabilities.
 
     Classes the model does not know have probability 0.
     """
+    if isinstance(model, ForestModel):
+        return model.predictions(rows, keep, truth, labels)
     out = model.transform(rows)
     columns = [F.col(c) for c in keep]
     if truth:
@@ -95,7 +102,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], name: str, key: str, fol
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     parts = None
     for f in folds:
-        model = fit(df.filter(F.col(fold) != f), features, name, label, **params)
+        model = fit(df.filter(F.col(fold) != f), features, name, label, key=key, **params)
         part = predictions(model, df.filter(F.col(fold) == f), [key, fold], label, labels)
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("model", F.lit(name))
@@ -244,12 +251,12 @@ def calibration_table(fit_rows: DataFrame, rows: DataFrame, score: str, positive
 
 # -- importance --------------------------------------------------------------------------------
 
-def native_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+def native_importance(model: PipelineModel | ForestModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """Importance known to the fitted classifier: tree importances or mean absolute coefficients."""
+    if isinstance(model, ForestModel):
+        return model.importance()
     top = model.stages[-1]
-    if hasattr(top, "featureImportances"):
-        values = top.featureImportances.toArray()
-    elif hasattr(top, "coefficientMatrix"):
+    if hasattr(top, "coefficientMatrix"):
         values = abs(top.coefficientMatrix.toArray()).mean(axis=0)
     else:
         raise ValueError("the classifier has no native importance")
@@ -279,16 +286,30 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequ
 
     Every row is scored once as it is and once per feature, in a single job per repeat.
     """
-    prepare = PipelineModel(stages=[s for s in model.stages[:-1] if not isinstance(s, RandomFourierFeatures)])
-    classify = PipelineModel(stages=model.stages[len(prepare.stages):])
-    base = materialize(prepare.transform(rows).select(key, F.col(label).cast("int").alias("y_true"), vector_to_array("features").alias("x")))
+    every = F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("variant")
+    if isinstance(model, ForestModel):
+        base = materialize(model.bins.apply(rows.select(key, F.col(label).cast("int").alias("y_true"), *features), [key, "y_true"]).withColumnRenamed("bins", "x"))
+        place = F.array(*[F.lit(model.bins.features.index(f)) for f in features])[F.col("variant")]
+        mixed = F.when(F.col("variant") < 0, F.col("x")).otherwise(F.concat(
+            F.substring("x", F.lit(1), place), F.substring("x_shuffled", place + 1, F.lit(1)), F.substring("x", place + 2, F.lit(len(model.bins.features)))))
+
+        def score(both: DataFrame) -> DataFrame:
+            voted = model.votes(both.select("y_true", "x", "x_shuffled", every).select("y_true", "variant", mixed.alias("bins")), ["variant", "y_true"])
+            return voted.select("variant", "y_true", first_argmax("prob").cast("int").alias("y_pred"))
+    else:
+        prepare = PipelineModel(stages=[s for s in model.stages[:-1] if not isinstance(s, RandomFourierFeatures)])
+        classify = PipelineModel(stages=model.stages[len(prepare.stages):])
+        base = materialize(prepare.transform(rows).select(key, F.col(label).cast("int").alias("y_true"), vector_to_array("features").alias("x")))
+
+        def score(both: DataFrame) -> DataFrame:
+            variants = both.select("y_true", "x", "x_shuffled", every)
+            changed = F.transform("x", lambda v, i: F.when(i == F.col("variant"), F.element_at("x_shuffled", i + 1)).otherwise(v))
+            scored = classify.transform(variants.select("y_true", "variant", array_to_vector(changed).alias("features")))
+            return scored.select("variant", "y_true", F.col("prediction").cast("int").alias("y_pred"))
+
     tables = None
     for repeat in range(repeats):
-        both = shifted(base, "x", key, K.SEED + repeat)
-        variants = both.select("y_true", "x", "x_shuffled", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("variant"))
-        changed = F.transform("x", lambda v, i: F.when(i == F.col("variant"), F.element_at("x_shuffled", i + 1)).otherwise(v))
-        scored = classify.transform(variants.select("y_true", "variant", array_to_vector(changed).alias("features")))
-        table = M.evaluate(scored.select("variant", "y_true", F.col("prediction").cast("int").alias("y_pred")), ["variant"], labels)
+        table = M.evaluate(score(shifted(base, "x", key, K.SEED + repeat)), ["variant"], labels)
         table = table.select(F.lit(repeat).alias("repeat"), "variant", "macro_f1")
         tables = table if tables is None else tables.unionByName(table)
     plain = F.max(F.when(F.col("variant") == -1, F.col("macro_f1"))).over(Window.partitionBy("repeat"))
@@ -320,14 +341,20 @@ def score_batch(model: PipelineModel, rows: DataFrame, key: str, order: Column,
                       F.array_max("prob").alias("confidence"), "prob", *features)
 
 
-def save_model(model: PipelineModel, path: str, features: Sequence[str], threshold: float | None = None, **extra) -> None:
+def save_model(model: PipelineModel | ForestModel, path: str, features: Sequence[str], threshold: float | None = None, **extra) -> None:
     """The pipeline, and next to it one JSON document with feature order, threshold and other metadata."""
-    model.write().overwrite().save(f"{path}/pipeline")
+    if isinstance(model, ForestModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.getActiveSession()
-    document = json.dumps({"features": list(features), "threshold": threshold, **extra}, sort_keys=True)
+    kind = {"kind": "forest"} if isinstance(model, ForestModel) else {}
+    document = json.dumps({"features": list(features), "threshold": threshold, **kind, **extra}, sort_keys=True)
     spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel | ForestModel, dict]:
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    if metadata.get("kind") == "forest":
+        return ForestModel.load(spark, path), metadata
     return PipelineModel.load(f"{path}/pipeline"), metadata

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
-from gradewell.models import prep, training as T
+from gradewell.models import forests as R, prep, training as T
 from gradewell.operators import metrics as M
 from gradewell.operators import profile as P
 from gradewell.operators import splits as S
@@ -20,16 +20,15 @@ from gradewell.session import materialize
 query = CATALOG.query
 INPUTS = ["n_lines", "qty_sum", "qty_max", "price_max", "tax_max", "total", "disc_max"]
 FOLDS = 5
-#: Sizes of the reference's models; trees without a depth limit have the deepest that Spark grows.
-DEEPEST = 30
+#: Sizes of the reference's models; a depth of None is no limit.
 LOGISTIC = {"maxIter": 5000}
-FOREST = {"numTrees": 240, "maxDepth": DEEPEST, "minInstancesPerNode": 2, "subsamplingRate": 1.0}
-EXTRA_TREES = {"numTrees": 240, "maxDepth": DEEPEST, "minInstancesPerNode": 2}
-BALANCED_FOREST = {"numTrees": 220, "maxDepth": DEEPEST, "minInstancesPerNode": 2}
+FOREST = {"numTrees": 240, "maxDepth": None, "minInstancesPerNode": 2}
+EXTRA_TREES = {"numTrees": 240, "maxDepth": None, "minInstancesPerNode": 2}
+BALANCED_FOREST = {"numTrees": 220, "maxDepth": None, "minInstancesPerNode": 2}
 BOOSTED = {"maxIter": 220, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.85"}
 NATIVE_FOREST, PERMUTED_FOREST = FOREST | {"numTrees": 180}, FOREST | {"numTrees": 120}
 TRIALS = 50
-TRIAL_RANGES = {"numTrees": list(range(120, 321, 40)), "maxDepth": [DEEPEST, 6, 10, 14, 18], "minInstancesPerNode": (1, 8), "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+TRIAL_RANGES = {"numTrees": list(range(120, 321, 40)), "maxDepth": [None, 6, 10, 14, 18], "minInstancesPerNode": (1, 8), "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
 
 def split(fx):
@@ -88,7 +87,7 @@ def evaluated(fx, name, features=INPUTS, binary=False, **params):
     if binary:
         train, test = (t.withColumn("label", (F.col("label") >= K.POSITIVE_MIN_GRADE).cast("int")) for t in (train, test))
         labels = [0, 1]
-    model = T.fit(train, features, name, label, **params)
+    model = T.fit(train, features, name, label, key="row_id", **params)
     scored = T.predictions(model, test, ["row_id"], label, labels).withColumn("model", F.lit(name))
     return M.evaluate(scored, ["model"], labels)
 
@@ -117,8 +116,15 @@ def logistic_regression(fx):
 
 @query("m05_forests")
 def forests(fx):
-    return evaluated(fx, "random_forest", **FOREST).unionByName(
-        evaluated(fx, "extra_trees", **EXTRA_TREES)).unionByName(evaluated(fx, "balanced_forest", **BALANCED_FOREST))
+    """Three kinds of forests grown from one table of binned rows."""
+    train, test = split(fx)
+    rows = R.prepare(train, INPUTS, ["row_id"])
+    parts = None
+    for kind, sizes in (("random_forest", FOREST), ("extra_trees", EXTRA_TREES), ("balanced_forest", BALANCED_FOREST)):
+        model = R.grow_forest(rows, kind, **T.forest_params(sizes))
+        part = T.predictions(model, test, ["row_id"]).select(F.lit(kind).alias("model"), "y_true", "y_pred")
+        parts = part if parts is None else parts.unionByName(part)
+    return M.evaluate(parts, ["model"])
 
 
 @query("m06_boosted_trees")
@@ -190,13 +196,13 @@ def calibration(fx):
 @query("m17_native_importance")
 def native_importance(fx):
     train, _ = split(fx)
-    return tidy(T.native_importance(T.fit(train, INPUTS, "random_forest", **NATIVE_FOREST), INPUTS, fx.spark))
+    return tidy(T.native_importance(T.fit(train, INPUTS, "random_forest", key="row_id", **NATIVE_FOREST), INPUTS, fx.spark))
 
 
 @query("m17_permutation_importance")
 def permutation_importance(fx):
     train, test = split(fx)
-    model = T.fit(train, INPUTS, "random_forest", **PERMUTED_FOREST)
+    model = T.fit(train, INPUTS, "random_forest", key="row_id", **PERMUTED_FOREST)
     return tidy(T.permutation_importance(model, test, INPUTS, "row_id", repeats=2))
 
 

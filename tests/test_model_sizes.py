@@ -20,7 +20,7 @@ def test_five_folds(fx, plan, monkeypatch):
     assert stopped.value.args == (5,)
 
 
-@pytest.mark.parametrize(("plan", "least"), [(P.forests, {"numTrees": 220}), (P.boosted_trees, {"maxIter": 220}), (P.boosted_trees_grades, {"maxIter": 220}),
+@pytest.mark.parametrize(("plan", "least"), [(P.boosted_trees, {"maxIter": 220}), (P.boosted_trees_grades, {"maxIter": 220}),
                                              (P.native_importance, {"numTrees": 180}), (P.permutation_importance, {"numTrees": 120}), (P.logistic_regression, {"maxIter": 5000})])
 def test_reference_sizes(fx, plan, least, monkeypatch):
     def fit(*args, **params):
@@ -32,6 +32,23 @@ def test_reference_sizes(fx, plan, least, monkeypatch):
     assert all(stopped.value.args[0][k] >= v for k, v in least.items())
 
 
+def test_forest_sizes(fx, monkeypatch):
+    asked = []
+
+    def grow(rows, kind, **params):
+        asked.append((kind, params["n_trees"], params["max_depth"]))
+        if len(asked) == 3:
+            raise Stop
+        return None
+
+    monkeypatch.setattr(P.R, "prepare", lambda *a: None)
+    monkeypatch.setattr(P.R, "grow_forest", grow)
+    monkeypatch.setattr(P.T, "predictions", lambda *a: fx.preds)
+    with pytest.raises(Stop):
+        P.forests(fx)
+    assert asked == [("random_forest", 240, None), ("extra_trees", 240, None), ("balanced_forest", 220, None)]
+
+
 def test_trials():
     drawn = P.T.random_candidates(P.TRIAL_RANGES, P.TRIALS)
     assert len(drawn) == 50 and min(c["numTrees"] for c in drawn) >= 120
