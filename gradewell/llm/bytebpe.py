@@ -6,16 +6,25 @@ of least rank of every word until no pair is left. An ordered aggregation lists
 the bytes of those ids again, which is the decoding. Texts are put together from their words, in order.
 
 The merge table holds every pair of tokens whose joined bytes are a token, with that token's rank; it is built from
-the rank file alone. Long words use a second form of the query that contracts all occurrences of the least pair of a
-word in one round. That equals taking them from left to right as long as no merge with a part of this rank has a lower
-rank; where the vocabulary has one, only the leftmost pair is taken.
+the rank file alone. A round also contracts every pair that no other merge can reach first. Let a pair of rank r be
+(a, b), with the token t before a. Until (a, b) is contracted, a can only be taken by a merge (X, a), where X is t or grew from t and
+so ends with the bytes of t; ``low_left`` of (t, a) is the least rank of all such merges. If it is more than r, (a, b) comes
+first, whatever happens elsewhere in the word. Likewise behind b, where ``low_right`` of (b, u) is the least rank of a merge (b, Y)
+whose Y begins with the bytes of u; there r itself will do, since of equal ranks the left one comes first. Two
+neighbouring pairs cannot both pass. In words of more than ``KEPT_WORD`` bytes X, if it is not t itself, must also end with the byte
+that stands before t, and Y go on with the byte behind u; and a pair is contracted as well if it is the leftmost one of least rank
+among all within the longest token's bytes on both sides. (What merges further off could only reach it through tokens that grow
+from there, and one that reached it would be longer than any.) So a word of any length takes few rounds. The ids
+are always those of contracting one pair at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -27,36 +36,42 @@ from gradewell.llm.common import per_batch
 GROUP_BYTES = 4_000_000
 CACHED_WORDS = 300_000
 BATCH_BYTES = 600_000
-LONG_WORD = 64
-POSITION_BITS = 24
+KEPT_WORD = 64
+POSITION_BITS = 32
 WORD_BITS = 20
-
-#: Position keys are word << 24 | position, pair keys are rank << 24 | position.
-SHORT_WORDS = f"""
-with recursive t(k, tok, done) as (
-  select k, tok, false from tokens
-  union all
-  (with pairs as (select k, tok, lead(tok) over by_k as nxt, lead(k) over by_k as nk from t where not done window by_k as (order by k)),
-   ranked as (select p.k, p.tok, p.nk, m.id from pairs p left join merges m on m.l = p.tok and m.r = p.nxt and p.k >> {POSITION_BITS} = p.nk >> {POSITION_BITS}),
-   least as (select k >> {POSITION_BITS} as w, min((id::bigint << {POSITION_BITS}) | (k & {(1 << POSITION_BITS) - 1})) as best,
-               arg_min(nk, (id::bigint << {POSITION_BITS}) | (k & {(1 << POSITION_BITS) - 1})) as gone from ranked group by 1)
-   select r.k, case when r.k & {(1 << POSITION_BITS) - 1} = least.best & {(1 << POSITION_BITS) - 1} then (least.best >> {POSITION_BITS})::int else r.tok end, least.best is null
-   from ranked r join least on r.k >> {POSITION_BITS} = least.w where least.best is null or r.k <> least.gone))
-"""
-#: Runs of overlapping hits (a, a, a) are cut from the left: hits at odd places of a run are taken.
-LONG_WORDS = f"""
-with recursive t(k, tok, done) as (
-  select k, tok, false from tokens
+TOKEN_BITS = 20
+MASK = (1 << POSITION_BITS) - 1
+NEVER = 1 << 30
+ASCII_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
+
+#: Position keys are word << 32 | position, pair keys are rank << 32 | position; ``fb`` and ``lb`` are a token's first and last byte.
+CONTRACT = f"""
+with recursive t(k, tok, fb, lb, done) as (
+  select k, tok, b, b, false from tokens
   union all
-  (with pairs as (select k, tok, row_number() over by_k as n, lead(tok) over by_k as nxt, lead(k) over by_k as nk from t where not done window by_k as (order by k)),
-   ranked as (select p.*, m.id, m.safe from pairs p left join merges m on m.l = p.tok and m.r = p.nxt and p.k >> {POSITION_BITS} = p.nk >> {POSITION_BITS}),
-   least as (select k >> {POSITION_BITS} as w, min(id) as best, arg_min(k, (id::bigint << {POSITION_BITS}) | (k & {(1 << POSITION_BITS) - 1})) as leftmost from ranked group by 1),
-   hits as (select r.k, r.nk, r.n, l.best from ranked r join least l on r.k >> {POSITION_BITS} = l.w and r.id = l.best where r.safe or r.k = l.leftmost),
-   runs as (select *, n - row_number() over (order by n) as run from hits),
-   taken as (select k, nk, best from (select *, row_number() over (partition by run order by n) as place from runs) where place % 2 = 1)
-   select r.k, coalesce(taken.best, r.tok), least.best is null
-   from ranked r join least on r.k >> {POSITION_BITS} = least.w left join taken on taken.k = r.k where not exists (select 1 from taken x where x.nk = r.k)))
+  (with pairs as (select k, tok, fb, lb, lead(tok) over by_k as nxt, lead(k) over by_k >> {POSITION_BITS} = k >> {POSITION_BITS} as same,
+       case when lag(k) over by_k >> {POSITION_BITS} = k >> {POSITION_BITS} then lag(lb) over by_k end as byte_before,
+       case when lead(k, 2) over by_k >> {POSITION_BITS} = k >> {POSITION_BITS} then lead(fb, 2) over by_k end as byte_behind, lead(lb) over by_k as lb_next
+     from t where not done window by_k as (order by k)),
+   ranked as (select p.*, m.id, case when {{sharp}} then least(m.id, x.low) else m.low_left end as low_left,
+       case when {{sharp}} then least(m.id, y.low) else m.low_right end as low_right
+     from pairs p left join merges m on m.pair = case when p.same then (p.tok::bigint << {TOKEN_BITS}) | p.nxt end
+     left join grown_left x on x.triple = case when {{sharp}} and p.same then (p.tok::bigint << {TOKEN_BITS + 8}) | (p.nxt::bigint << 8) | p.byte_before end
+     left join grown_right y on y.triple = case when {{sharp}} and p.same then (p.tok::bigint << {TOKEN_BITS + 8}) | (p.nxt::bigint << 8) | p.byte_behind end),
+   near as (select k, tok, fb, lb, lb_next, id, low_right, (id::bigint << {POSITION_BITS}) | (k & {MASK}) as rank, lag(id) over by_k as id_before, lag(k) over by_k & {MASK} as at_before,
+       lag(low_left) over by_k as low_left, lag(low_left, 2) over by_k as low_left_before, lead(low_right) over by_k as low_right_behind from ranked window by_k as (order by k)),
+   least as (select *, {{bests}} from near),
+   chosen as (select *, rank = best and rank = best_shifted or (id < coalesce(low_left, {NEVER}) and id <= coalesce(low_right_behind, {NEVER})) as taken from least),
+   merged as (select *, {{taken_before}} as gone from chosen)
+   select k, case when taken then id else tok end, fb, case when taken then lb_next else lb end, best_of_word is null from merged where gone is not true))
 """
+#: Short words: the least pair of the word. Long ones: the least pair of two grids of blocks, shifted by half a block.
+SHORT = {"bests": f"min(rank) over (partition by k >> {POSITION_BITS}) as best, best as best_shifted, best as best_of_word",
+         "taken_before": f"id_before is not null and (((id_before::bigint << {POSITION_BITS}) | at_before) = best"
+                         f" or (id_before < coalesce(low_left_before, {NEVER}) and id_before <= coalesce(low_right, {NEVER})))"}
+LONG = {"bests": "min(rank) over (partition by k >> {block}) as best, min(rank) over (partition by (k + (1 << {block} - 1)) >> {block}) as best_shifted,"
+                 f" min(rank) over (partition by k >> {POSITION_BITS}) as best_of_word",
+        "taken_before": "lag(taken) over (order by k)"}
 RESULT = f"""
 select k >> {POSITION_BITS} as w, list(tok order by k) as ids, list(vocabulary.bytes order by k) as parts
 from t join vocabulary on vocabulary.id = t.tok where done group by 1 order by 1
@@ -82,30 +97,66 @@ class WordCoder:
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.chunk_ids: dict[str, bytes] = {}
         self.chunk_bytes: dict[str, bytes] = {}
+        self.block_bits = max(max(map(len, self.ranks)), KEPT_WORD).bit_length() + 1  # half a block holds the longest token
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items()
-                 for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, made = (np.array(x, np.int32) for x in zip(*pairs))
-        unsafe = np.unique(np.concatenate([left[made < left], right[made < right]]))
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "512MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "preserve_insertion_order": "false", "memory_limit": "1GB", "temp_directory": f"{tempfile.gettempdir()}/contract-{os.getpid()}"})
         for name, table in (
-            ("merges", pa.table({"l": left, "r": right, "id": made, "safe": ~np.isin(made, unsafe)})),
+            *self.merge_tables().items(),
             ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())})),
         ):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
 
-    def contract(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
-        if max(map(len, words)) >= 1 << POSITION_BITS:
-            raise ValueError(f"a word of more than {1 << POSITION_BITS} bytes")
+    def merge_tables(self) -> dict[str, pa.Table]:
+        """``merges`` (pair, id, low_left, low_right), and the bounds ``grown_left`` and ``grown_right`` (pair and byte beside it, low)."""
+        ranks = self.ranks
+        if max(ranks.values()) >= 1 << TOKEN_BITS:
+            raise ValueError(f"ranks of more than {TOKEN_BITS} bits")
+        ids, left, right, grown_left, grown_right = ({} for _ in range(5))
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):  # the first rank met is the least
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is None or b is None:
+                    continue
+                ids[a << TOKEN_BITS | b] = rank
+                for j in range(i):
+                    if (t := ranks.get(token[j:i])) is not None:
+                        left.setdefault(t << TOKEN_BITS | b, rank)
+                        if j:
+                            grown_left.setdefault(t << TOKEN_BITS + 8 | b << 8 | token[j - 1], rank)
+                for j in range(i + 1, len(token) + 1):
+                    if (u := ranks.get(token[i:j])) is not None:
+                        right.setdefault(a << TOKEN_BITS | u, rank)
+                        if j < len(token):
+                            grown_right.setdefault(a << TOKEN_BITS + 8 | u << 8 | token[j], rank)
+        pairs = sorted(left.keys() | right.keys())
+        out = {"merges": pa.table({"pair": pa.array(pairs, pa.int64()), **{
+            name: pa.array([known.get(p) for p in pairs], pa.int32()) for name, known in (("id", ids), ("low_left", left), ("low_right", right))}})}
+        for name, known in (("grown_left", grown_left), ("grown_right", grown_right)):
+            out[name] = pa.table({"triple": pa.array(known.keys(), pa.int64()), "low": pa.array(known.values(), pa.int32())})
+        return out
+
+    def contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of words, in the order given."""
+        out: list = [None] * len(words)
+        for long in (False, True):
+            ours = [i for i, w in enumerate(words) if (len(w) > KEPT_WORD) == long]
+            if ours:
+                for i, found in zip(ours, self.contract_alike([words[i] for i in ours], long)):
+                    out[i] = found
+        return out
+
+    def contract_alike(self, words: list[bytes], long: bool) -> list[tuple[bytes, bytes]]:
+        form = {k: v.format(block=self.block_bits) for k, v in LONG.items()} if long else SHORT
         sizes = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), np.uint8)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         keys = (np.repeat(np.arange(len(words), dtype=np.int64), sizes) << POSITION_BITS) | (np.arange(len(flat)) - starts)
-        self.db.register("tokens", pa.table({"k": keys, "tok": self.byte_ids[flat]}))
-        rows = self.db.sql(query + RESULT).to_arrow_table().combine_chunks()
-        self.db.unregister("tokens")
+        self.db.register("given", pa.table({"k": keys, "tok": self.byte_ids[flat], "b": flat}))
+        self.db.execute("create or replace temp table tokens as select * from given")
+        rows = self.db.sql(CONTRACT.format(sharp=str(long).lower(), **form) + RESULT).to_arrow_table().combine_chunks()
+        self.db.unregister("given")
         if not rows.num_rows:
             return []
         lists, parts = (rows.column(name).chunk(0) for name in ("ids", "parts"))
@@ -119,7 +170,7 @@ class WordCoder:
 
     def look_up(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Every word of ``words`` with ids (little-endian unsigned 32-bit) and decoded bytes."""
-        found, short, long = {}, [], []
+        found, todo = {}, []
         for word in dict.fromkeys(words):
             if (known := self.words.get(word)) is not None:
                 found[word] = known
@@ -128,21 +179,20 @@ class WordCoder:
             if (rank := self.ranks.get(raw)) is not None:
                 found[word] = self.keep(word, (rank.to_bytes(4, "little"), raw))
             else:
-                (short if len(raw) <= LONG_WORD else long).append((word, raw))
-        for todo, query in ((short, SHORT_WORDS), (long, LONG_WORDS)):
-            first = 0
-            while first < len(todo):
-                last, held = first, 0
-                while last < len(todo) and (last == first or held + len(todo[last][1]) <= BATCH_BYTES) and last - first < 1 << WORD_BITS:
-                    held += len(todo[last][1])
-                    last += 1
-                for (word, _), coded in zip(todo[first:last], self.contract([raw for _, raw in todo[first:last]], query)):
-                    found[word] = self.keep(word, coded)
-                first = last
+                todo.append((word, raw))
+        first = 0
+        while first < len(todo):
+            last, held = first, 0
+            while last < len(todo) and (last == first or held + len(todo[last][1]) <= BATCH_BYTES) and last - first < 1 << WORD_BITS:
+                held += len(todo[last][1])
+                last += 1
+            for (word, _), coded in zip(todo[first:last], self.contract([raw for _, raw in todo[first:last]])):
+                found[word] = self.keep(word, coded)
+            first = last
         return found
 
     def keep(self, word: str, coded: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        if len(self.words) < self.most // 2 and len(word) <= LONG_WORD:
+        if len(self.words) < self.most // 2 and len(word) <= KEPT_WORD:
             self.words[word] = coded
         return coded
 
@@ -152,26 +202,47 @@ class WordCoder:
         A lone space between two other characters always opens a word, so most texts can be cut there at once;
         where white space stands together the pattern itself cuts the text.
         """
-        if not text or self.loose.search(text):
+        if not text or self.loosely_spaced(text):
             return self.split(text)
         parts = text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]]
 
+    def loosely_spaced(self, text: str) -> bool:
+        """Whether a space stands at an end of the text or beside other white space."""
+        if text[0] == " " or text[-1] == " " or "  " in text:
+            return True
+        if text.isascii():
+            return any(c in text and (c + " " in text or " " + c in text) for c in ASCII_BLANKS)
+        return self.loose.search(text) is not None
+
+    def split_chunks(self, chunks: list[str]) -> list[list[str]]:
+        """Words of every chunk; those that open with a space are split together, as each of them opens a word."""
+        spaced = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() and " " not in c[1:]]
+        words = self.split("".join(spaced))
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(starts) != len(spaced):
+            return [self.split(c) for c in chunks]
+        found = dict(zip(spaced, (words[i:j] for i, j in zip(starts, [*starts[1:], len(words)]))))
+        return [found[c] if c in found else self.split(c) for c in chunks]
+
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids as bytes and the decoded bytes of every text."""
         cut = [self.chunked(t) for t in texts]
-        new = {c for parts in cut for c in parts} - self.chunk_ids.keys()
+        new = list(set().union(*cut) - self.chunk_ids.keys())
         if new:
-            pieces = [(c, self.split(c)) for c in new]
-            words = self.look_up([w for _, ws in pieces for w in ws])
-            for c, ws in pieces:
-                self.chunk_ids[c] = b"".join([words[w][0] for w in ws])
-                self.chunk_bytes[c] = b"".join([words[w][1] for w in ws])
+            pieces = self.split_chunks(new)
+            words = self.look_up([w for ws in pieces for w in ws])
+            for c, ws in zip(new, pieces):
+                if len(ws) == 1:
+                    self.chunk_ids[c], self.chunk_bytes[c] = words[ws[0]]
+                else:
+                    self.chunk_ids[c] = b"".join([words[w][0] for w in ws])
+                    self.chunk_bytes[c] = b"".join([words[w][1] for w in ws])
         ids, raw = self.chunk_ids.__getitem__, self.chunk_bytes.__getitem__
         out = [(b"".join(map(ids, parts)), b"".join(map(raw, parts))) for parts in cut]
         room = self.most - len(self.chunk_ids) + len(new)
         for c in new:  # chunks met early are the frequent ones; the rest goes again
-            if room > 0 and len(c) <= LONG_WORD:
+            if room > 0 and len(c) <= KEPT_WORD:
                 room -= 1
             else:
                 del self.chunk_ids[c], self.chunk_bytes[c]

@@ -34,10 +34,20 @@ def test_ids_equal_the_library(coder, library):
         assert raw == text.encode()
 
 
-def test_both_queries_agree(coder):
+def test_words_of_any_length(coder, library):
+    """Runs over few letters, where ties and overlaps are many, and long words without a break."""
     rng = random.Random(4)
-    words = ["".join(rng.choice("abn") for _ in range(rng.randint(2, 40))).encode() for _ in range(200)]
-    assert coder.contract(words, B.SHORT_WORDS) == coder.contract(words, B.LONG_WORDS)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 300))) for letters in ("ab", "abn", "=-", "é漢", "etaoin") for _ in range(60)]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (100, 1500, 20_000)]
+    for word, (ids, raw) in zip(words, coder.contract([w.encode() for w in words])):
+        assert np.frombuffer(ids, np.uint32).tolist() == library._encode_single_piece(word) and raw == word.encode()
+
+
+def test_a_word_of_a_megabyte(coder, library):
+    rng = random.Random(6)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    [(ids, raw)] = coder.encode_many([word])
+    assert np.frombuffer(ids, np.uint32).tolist() == library.encode_ordinary(word) and raw == word.encode()
 
 
 def test_table_and_round_trip(spark, library):
