@@ -20,6 +20,7 @@ from gradewell import constants as K
 from gradewell.functions.labels import grade_name
 from gradewell.functions.probability import first_argmax
 from gradewell.models import forests
+from gradewell.models.boosting import BoosterModel
 from gradewell.models.forests import ForestModel
 from gradewell.models.prep import RandomFourierFeatures, fit_preparation
 from gradewell.operators import metrics as M
@@ -76,13 +77,13 @@ def fit(train: DataFrame, features: Sequence[str], name: str, label: str = "labe
     return Pipeline(stages=[*preparation.stage(), *estimator(name, classes, **params)]).fit(rows)
 
 
-def predictions(model: PipelineModel | ForestModel, rows: DataFrame, keep: Sequence[str], truth: str | None = "label",
+def predictions(model: PipelineModel | ForestModel | BoosterModel, rows: DataFrame, keep: Sequence[str], truth: str | None = "label",
                 labels: Sequence[int] = K.GRADES) -> DataFrame:
     """Prediction table: kept columns, y_true, y_pred and, where the model has them, probabilities.
 
     Classes the model does not know have probability 0.
     """
-    if isinstance(model, ForestModel):
+    if isinstance(model, (ForestModel, BoosterModel)):
         return model.predictions(rows, keep, truth, labels)
     out = model.transform(rows)
     columns = [F.col(c) for c in keep]

@@ -20,7 +20,7 @@ def test_five_folds(fx, plan, monkeypatch):
     assert stopped.value.args == (5,)
 
 
-@pytest.mark.parametrize(("plan", "least"), [(P.boosted_trees, {"maxIter": 220}), (P.boosted_trees_grades, {"maxIter": 220}),
+@pytest.mark.parametrize(("plan", "least"), [(P.boosted_trees, {"maxIter": 220}),
                                              (P.native_importance, {"numTrees": 180}), (P.permutation_importance, {"numTrees": 120}), (P.logistic_regression, {"maxIter": 5000})])
 def test_reference_sizes(fx, plan, least, monkeypatch):
     def fit(*args, **params):
@@ -32,6 +32,17 @@ def test_reference_sizes(fx, plan, least, monkeypatch):
     assert all(stopped.value.args[0][k] >= v for k, v in least.items())
 
 
+def test_booster_sizes(fx, monkeypatch):
+    def grow(rows, **params):
+        raise Stop(params)
+
+    monkeypatch.setattr(P.R, "prepare", lambda *a, **k: None)
+    monkeypatch.setattr(P.B, "grow_booster", grow)
+    with pytest.raises(Stop) as stopped:
+        P.boosted_trees_grades(fx)
+    assert stopped.value.args[0]["rounds"] == 220 and stopped.value.args[0]["depth"] == 5
+
+
 def test_forest_sizes(fx, monkeypatch):
     asked = []
 
