@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -140,28 +144,94 @@ def random_candidates(ranges: Mapping[str, Sequence], trials: int, seed: int = K
     return [{name: pick(values) for name, values in ranges.items()} for _ in range(trials)]
 
 
+TRIAL = "trial int, model string, state string, value double, macro_recall double, params string, first_fold double"
+
+
+class TrialLog:
+    """Finished trials of a search; with a path, every trial is appended to a Parquet folder as soon as it ends."""
+
+    def __init__(self, spark: SparkSession, path: str | None, done: DataFrame | None, model: str) -> None:
+        self.spark, self.path, self.lock = spark, path, threading.Lock()
+        self.rows: dict[int, tuple] = {}
+        for known in (done, self.stored()):
+            if known is not None:
+                for r in known.filter((F.col("model") == model) & F.col("state").isin("COMPLETE", "PRUNED")).collect():
+                    self.rows[r["trial"]] = tuple(r[c.split()[0]] for c in TRIAL.split(", "))
+
+    def stored(self) -> DataFrame | None:
+        if not self.path:
+            return None
+        try:
+            return self.spark.read.schema(TRIAL).parquet(self.path)
+        except AnalysisException as error:  # nothing is written yet
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+
+    def add(self, row: tuple) -> None:
+        with self.lock:
+            self.rows[row[0]] = row
+            if self.path:
+                self.spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame([self.rows[t] for t in sorted(self.rows)], TRIAL)
+
+
+def fold_models(df: DataFrame, features: Sequence[str], name: str, key: str, fold: str, label: str, labels: Sequence[int]) -> dict:
+    """Per fold a function of parameters that fits on the other folds and predicts this one; forests share the binned rows."""
+    def one(f) -> Callable[[Mapping], DataFrame]:
+        rest, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
+        if name not in forests.KINDS:
+            return lambda params: predictions(fit(rest, features, name, label, key=key, **params), held, [key], label, labels)
+        rows = forests.prepare(rest, features, [key], label, max_bins=32)
+        binned = materialize(rows.bins.apply(held.withColumn("y_true", F.col(label).cast("int")), [key, "y_true"]))
+        return lambda params: forests.grow_forest(rows, name, **forest_params(params)).votes(binned, [key, "y_true"]).withColumn("y_pred", first_argmax("prob"))
+
+    return {f: one(f) for f in sorted(r[0] for r in df.select(fold).distinct().collect())}
+
+
 def search(df: DataFrame, features: Sequence[str], name: str, candidates: Sequence[Mapping], key: str, label: str = "label",
-           done: DataFrame | None = None, labels: Sequence[int] = K.GRADES) -> DataFrame:
+           done: DataFrame | None = None, labels: Sequence[int] = K.GRADES, log_path: str | None = None, parallel: int = 4, startup: int = 5, fold: str = "fold") -> DataFrame:
     """Trial log of a parameter search: one row per candidate with its out-of-fold macro F1.
 
-    Candidates that the log ``done`` lists as COMPLETE are not run again.
+    ``parallel`` trials run side by side, each in its own scheduler pool. The first ``startup`` candidates run over all folds. A later one
+    whose first fold stays below the best first fold of theirs is stopped there: state PRUNED, its value is that fold's. So what is
+    stopped does not depend on which trial ends first. Candidates that ``done`` or the log at ``log_path`` list as COMPLETE or
+    PRUNED are not run again; a search that was killed goes on with the open ones.
     """
-    finished = set()
-    if done is not None:
-        finished = {r["trial"] for r in done.filter((F.col("model") == name) & (F.col("state") == "COMPLETE")).select("trial").collect()}
-    logs = []
-    for trial, params in enumerate(candidates):
-        if trial in finished:
-            continue
-        oof = out_of_fold(df, features, name, key, label=label, labels=labels, **params)
-        row = M.evaluate(oof.select("model", "y_true", "y_pred"), ["model"], labels)
-        logs.append(row.select(
-            F.lit(trial).alias("trial"), "model", F.lit("COMPLETE").alias("state"), F.col("macro_f1").alias("value"),
-            "macro_recall", F.lit(json.dumps(dict(params), sort_keys=True)).alias("params")))
-    out = done
-    for log in logs:
-        out = log if out is None else out.unionByName(log)
-    return out
+    spark = df.sparkSession
+    log = TrialLog(spark, log_path, done, name)
+    if all(t in log.rows for t in range(len(candidates))):
+        return log.table()
+    models = fold_models(df, features, name, key, fold, label, labels)
+    first, *others = models
+
+    def run(trial: int, bar: float | None) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial % parallel}")
+        params = candidates[trial]
+        parts = materialize(models[first](params).select("y_true", "y_pred").withColumn("model", F.lit(name)))
+        start = M.evaluate(parts, ["model"], labels).first()["macro_f1"]
+        text = json.dumps(dict(params), sort_keys=True)
+        if bar is not None and start < bar:
+            log.add((trial, name, "PRUNED", start, None, text, start))
+            return
+        for f in others:
+            parts = parts.unionByName(models[f](params).select("y_true", "y_pred").withColumn("model", F.lit(name)))
+        found = M.evaluate(materialize(parts), ["model"], labels).first()
+        log.add((trial, name, "COMPLETE", found["macro_f1"], found["macro_recall"], text, start))
+
+    def run_all(trials: Sequence[int], bar: float | None) -> None:
+        open_trials = [t for t in trials if t not in log.rows]
+        with ThreadPoolExecutor(parallel) as pool:
+            for running in [pool.submit(inheritable_thread_target(spark)(run), t, bar) for t in open_trials]:
+                running.result()
+
+    head = range(min(startup, len(candidates)))
+    run_all(head, None)
+    known = [log.rows[t][6] for t in head if log.rows[t][6] is not None]
+    run_all(range(len(head), len(candidates)), max(known) if known else None)
+    return log.table()
 
 
 def stack(df: DataFrame, features: Sequence[str], names: Sequence[str], key: str, label: str = "label",

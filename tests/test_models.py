@@ -92,6 +92,32 @@ def test_search_resumes(table):
     assert sorted(r["trial"] for r in both.collect()) == [0, 1]
 
 
+def test_killed_search_goes_on_from_its_log(table, tmp_path, monkeypatch):
+    folds = materialize(S.stratified_folds(table, ["label"], "row_id", 2))
+    grid = [{"numTrees": 4, "maxDepth": d} for d in (4, 3, 1, 5)]
+    path, plain, started = str(tmp_path / "log"), T.fold_models, []
+
+    def counted(*args):
+        def wrap(f, predict):
+            def run(params):
+                started.append((f, params["maxDepth"]))
+                if params["maxDepth"] == 5 and len(started) < 7:
+                    raise KeyboardInterrupt
+                return predict(params)
+            return run
+        return {f: wrap(f, p) for f, p in plain(*args).items()}
+
+    monkeypatch.setattr(T, "fold_models", counted)
+    with pytest.raises(KeyboardInterrupt):
+        T.search(folds, FEATURES, "random_forest", grid, "row_id", labels=[0, 1, 2], log_path=path, parallel=1, startup=2)
+    before = list(started)
+    log = T.search(folds, FEATURES, "random_forest", grid, "row_id", labels=[0, 1, 2], log_path=path, parallel=2, startup=2).collect()
+    assert [r["trial"] for r in log] == [0, 1, 2, 3] and {d for _, d in started[len(before):]} == {5}
+    assert log[2]["state"] == "PRUNED" and log[2]["value"] == log[2]["first_fold"] < max(log[0]["first_fold"], log[1]["first_fold"])
+    again = len(started)
+    assert T.search(folds, FEATURES, "random_forest", grid, "row_id", labels=[0, 1, 2], log_path=path).count() == 4 and len(started) == again
+
+
 def test_duplicate_columns_and_version_audit(fx):
     copies = P.duplicate_columns(fx.feats.withColumn("copy", F.col("total")), ["total", "copy", "qty_sum"], "row_id")
     assert [tuple(r) for r in copies.collect()] == [("copy", "total")]
