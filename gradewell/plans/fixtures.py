@@ -148,13 +148,18 @@ class Fixtures:
         )
 
     @cached_property
-    def files(self) -> DataFrame:
+    def every_file(self) -> DataFrame:
         suffix = F.when(F.col("doc_id") % 3 == 0, ".jpg").when(F.col("doc_id") % 3 == 1, ".png").otherwise("")
-        return self.table("documents").filter("doc_id % 11 <> 0").select(
+        return self.table("documents").select(
             "doc_id", "source", F.concat(F.col("doc_id").cast("string"), suffix).alias("file_name"),
             F.sha2("text", 256).alias("sha"), "n_chars",
         )
 
+    @cached_property
+    def files(self) -> DataFrame:
+        """Files with gaps, so that some ids of the resolution joins have none."""
+        return self.every_file.filter("doc_id % 11 <> 0")
+
     @cached_property
     def samples(self) -> DataFrame:
         return self.table("labels").select(
@@ -260,6 +265,9 @@ select row_id, model, source, y_true, y_pred,
     "files": """
 select doc_id, source, concat(cast(doc_id as varchar), case mod(doc_id,3) when 0 then '.jpg' when 1 then '.png' else '' end) as file_name,
   sha256(text) as sha, n_chars from documents where mod(doc_id,11)<>0""",
+    "every_file": """
+select doc_id, source, concat(cast(doc_id as varchar), case mod(doc_id,3) when 0 then '.jpg' when 1 then '.png' else '' end) as file_name,
+  sha256(text) as sha, n_chars from documents""",
     "samples": """
 select cast(doc_id as varchar) as image_id, case when mod(doc_id,17)=0 then 'No-DR' else cast(quality+2*toxic as varchar) end as raw_label
 from labels""",

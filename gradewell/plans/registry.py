@@ -14,9 +14,10 @@ from gradewell.plans.fixtures import Fixtures, oracle
 class Query:
     build: Callable[[Fixtures], DataFrame]
     sql: str | None
+    fixtures: type[Fixtures] = Fixtures
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Fixtures(spark, folder))
+        return self.build(self.fixtures(spark, folder))
 
 
 class Catalog:
@@ -39,6 +40,6 @@ CATALOG = Catalog()
 def load_catalog() -> Catalog:
     """Import every plan module once so that it registers its queries."""
     from gradewell.plans import (  # noqa: F401
-        decisions, dedup, evaluation, features, ingest, modelling, profiling, ranking, resolve, sessions, splits,
+        decisions, dedup, evaluation, features, ingest, modelling, profiling, ranking, resolve, sessions, splits, whole_files,
     )
     return CATALOG
