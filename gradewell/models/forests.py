@@ -279,8 +279,8 @@ def node_batch(tree: int, columns: Sequence[np.ndarray]) -> pa.Table:
 class Forest:
     """Grows all trees of a :class:`Growth` over binned rows (row hash, label, bins)."""
 
-    def __init__(self, growth: Growth, rows: DataFrame, local_rows: int) -> None:
-        self.growth, self.rows, self.local_rows = growth, rows, local_rows
+    def __init__(self, growth: Growth, rows: DataFrame, local_rows: int, rows_in_all: int) -> None:
+        self.growth, self.rows, self.local_rows, self.rows_in_all = growth, rows, local_rows, rows_in_all
         self.top: dict[int, list[tuple]] = {t: [] for t in range(growth.n_trees)}
 
     def walks(self) -> dict[int, Walk]:
@@ -350,9 +350,10 @@ class Forest:
 
     def grown(self) -> DataFrame:
         """All nodes of all trees, stored."""
-        g, depth = self.growth, 0
-        totals = self.drawn_rows()
-        frontier = {t: [int(g.root(t))] for t in range(g.n_trees) if totals[t].sum() > self.local_rows and g.may_split(totals[t:t + 1], 0)[0]}
+        g, depth, frontier = self.growth, 0, {}
+        if self.rows_in_all > self.local_rows // 2:
+            totals = self.drawn_rows()
+            frontier = {t: [int(g.root(t))] for t in range(g.n_trees) if totals[t].sum() > self.local_rows and g.may_split(totals[t:t + 1], 0)[0]}
         top = []
         depths = {}
         while frontier:
@@ -546,7 +547,7 @@ def grow_forest(training: Training, kind: str, *, n_trees: int = 50, max_depth:
         growth = replace(growth, rates=(), random_cuts=True)
     if kind == "balanced_forest":
         growth = replace(growth, class_weights=(1.0,) * classes, rates=tuple(min(sizes.values()) / sizes[c] if c in sizes else 0.0 for c in range(classes)))
-    return ForestModel(bins, growth, Forest(growth, training.rows, local_rows).grown())
+    return ForestModel(bins, growth, Forest(growth, training.rows, local_rows, n).grown())
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], kind: str, key: Sequence[str], label: str = "label", max_bins: int = 64, **params) -> ForestModel:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import threading
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -188,7 +189,23 @@ def fold_models(df: DataFrame, features: Sequence[str], name: str, key: str, fol
         binned = materialize(rows.bins.apply(held.withColumn("y_true", F.col(label).cast("int")), [key, "y_true"]))
         return lambda params: forests.grow_forest(rows, name, **forest_params(params)).votes(binned, [key, "y_true"]).withColumn("y_pred", first_argmax("prob"))
 
-    return {f: one(f) for f in sorted(r[0] for r in df.select(fold).distinct().collect())}
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    with ThreadPoolExecutor(len(folds)) as pool:
+        return dict(zip(folds, pool.map(inheritable_thread_target(df.sparkSession)(one), folds)))
+
+
+def confusion(scored: DataFrame) -> Counter:
+    """Rows per (y_true, y_pred): at most classes squared numbers."""
+    return Counter({(r["y_true"], r["y_pred"]): r["count"] for r in scored.groupBy("y_true", "y_pred").count().collect()})
+
+
+def macro_scores(counts: Counter, labels: Sequence[int]) -> tuple[float, float]:
+    """Macro F1 and macro recall over ``labels`` from a confusion table; a label without rows counts 0."""
+    hit = [counts[(c, c)] for c in labels]
+    true = [sum(n for (t, _), n in counts.items() if t == c) for c in labels]
+    said = [sum(n for (_, p), n in counts.items() if p == c) for c in labels]
+    f1 = [2 * h / (t + p) if t + p else 0.0 for h, t, p in zip(hit, true, said)]
+    return sum(f1) / len(labels), sum(h / t if t else 0.0 for h, t in zip(hit, true)) / len(labels)
 
 
 def search(df: DataFrame, features: Sequence[str], name: str, candidates: Sequence[Mapping], key: str, label: str = "label",
@@ -210,16 +227,15 @@ def search(df: DataFrame, features: Sequence[str], name: str, candidates: Sequen
     def run(trial: int, bar: float | None) -> None:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial % parallel}")
         params = candidates[trial]
-        parts = materialize(models[first](params).select("y_true", "y_pred").withColumn("model", F.lit(name)))
-        start = M.evaluate(parts, ["model"], labels).first()["macro_f1"]
+        counts = confusion(models[first](params))
+        start = macro_scores(counts, labels)[0]
         text = json.dumps(dict(params), sort_keys=True)
         if bar is not None and start < bar:
             log.add((trial, name, "PRUNED", start, None, text, start))
             return
         for f in others:
-            parts = parts.unionByName(models[f](params).select("y_true", "y_pred").withColumn("model", F.lit(name)))
-        found = M.evaluate(materialize(parts), ["model"], labels).first()
-        log.add((trial, name, "COMPLETE", found["macro_f1"], found["macro_recall"], text, start))
+            counts += confusion(models[f](params))
+        log.add((trial, name, "COMPLETE", *macro_scores(counts, labels), text, start))
 
     def run_all(trials: Sequence[int], bar: float | None) -> None:
         open_trials = [t for t in trials if t not in log.rows]

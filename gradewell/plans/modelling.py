@@ -29,8 +29,8 @@ BOOSTED = {"maxIter": 220, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0
 BOOSTED_GRADES = {"rounds": 220, "depth": 5, "rate": 0.06, "share": 0.9, "feature_share": 0.85}
 NATIVE_FOREST, PERMUTED_FOREST = FOREST | {"numTrees": 180}, FOREST | {"numTrees": 120}
 TRIALS = 50
-#: A tenth of the reference's 120 to 320 trees: 50 trials of five folds must end in minutes on one machine.
-TRIAL_RANGES = {"numTrees": list(range(12, 33, 4)), "maxDepth": [None, 6, 10, 14, 18], "minInstancesPerNode": (1, 8), "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+#: 4 to 10 trees where the reference has 120 to 320: 50 trials of five folds must end in minutes on one machine.
+TRIAL_RANGES = {"numTrees": [4, 6, 8, 10], "maxDepth": [None, 6, 10, 14, 18], "minInstancesPerNode": (1, 8), "featureSubsetStrategy": ["sqrt", "log2", "all"]}
 
 
 def split(fx):
@@ -176,7 +176,7 @@ def cross_validation(fx):
 def parameter_search(fx):
     table = folded(fx)
     candidates = T.random_candidates(TRIAL_RANGES, TRIALS)
-    return tidy(T.search(table, INPUTS, "random_forest", candidates, "row_id"))
+    return tidy(T.search(table, INPUTS, "random_forest", candidates, "row_id", parallel=8))
 
 
 @query("m13_stacking")

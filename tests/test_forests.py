@@ -60,7 +60,7 @@ def test_one_tree_equals_brute_force(training):
     growth = R.Growth(1, 3, 3, (0, 1, 2), 3, (1.0, 1.0, 1.0), min_leaf=2, max_bins=16)
     want = brute_force(bins, labels, 3, 2)
     for local_rows in (1, 40, 1000):
-        nodes = R.Forest(growth, training.rows, local_rows).grown().collect()
+        nodes = R.Forest(growth, training.rows, local_rows, 200).grown().collect()
         assert tree_of(nodes, int(growth.root(0).view(np.int64))) == want
 
 

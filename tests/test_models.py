@@ -90,6 +90,9 @@ def test_search_resumes(table):
     first = T.search(folds, FEATURES, "logistic_regression", grid[:1], "row_id", labels=[0, 1, 2])
     both = T.search(folds, FEATURES, "logistic_regression", grid, "row_id", done=first, labels=[0, 1, 2])
     assert sorted(r["trial"] for r in both.collect()) == [0, 1]
+    want = M.evaluate(T.out_of_fold(folds, FEATURES, "logistic_regression", "row_id", labels=[0, 1, 2], maxIter=2), ["model"], [0, 1, 2]).first()
+    got = both.filter("trial = 0").first()
+    assert abs(got["value"] - want["macro_f1"]) < 1e-9 and abs(got["macro_recall"] - want["macro_recall"]) < 1e-9
 
 
 def test_killed_search_goes_on_from_its_log(table, tmp_path, monkeypatch):
