@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
@@ -15,7 +17,7 @@ from gradewell.plans.profiling import long_sql
 from gradewell.plans.registry import CATALOG
 from gradewell.plans.splits import split_sql
 from gradewell.plans.tools import tidy
-from gradewell.session import materialize
+from gradewell.session import materialize, shared_folder
 
 query = CATALOG.query
 INPUTS = ["n_lines", "qty_sum", "qty_max", "price_max", "tax_max", "total", "disc_max"]
@@ -231,9 +233,27 @@ def feature_versions(fx):
     return tidy(table.select("model", "feature_version", "rank", "macro_f1", "balanced_accuracy"))
 
 
-@query("m20_batch_scoring")
+BAYES_TEST = f"""with {split_sql('0.2', '0.2')}, parts as (select *, case when split='test' then 0 else 1 end as fold from sp), {bayes_sql('parts', 'select 0 as f')}"""
+GRADE_LIST = ", ".join(f"'{name}'" for name in K.GRADE_NAMES.values())
+
+
+@query("m20_batch_scoring", "feats", f"""{BAYES_TEST}, best as (select row_id, max(s) as most from scored group by 1),
+shares as (select row_id, 1 / sum(exp(s - most)) as confidence from scored join best using (row_id) group by 1)
+select row_id, row_id as position, y_pred as predicted_class, ([{GRADE_LIST}])[y_pred + 1] as class_name, round(confidence, 6) as confidence, total
+from pred join shares using (row_id) join sp using (row_id)""")
 def batch_scoring(fx):
     train, test = split(fx)
     model = T.fit(train, INPUTS, "naive_bayes")
     scored = T.score_batch(model, test.drop("label"), "row_id", F.col("row_id"), ["total"])
     return tidy(scored.select("row_id", "position", "predicted_class", "class_name", "confidence", "total"))
+
+
+@query("m21_saved_model", "feats", f"""{BAYES_TEST} select row_id, y_pred, 0.5::double as threshold, 7 as n_features from pred""")
+def saved_model(fx):
+    """Predictions of a model that was saved with its metadata and loaded again."""
+    train, test = split(fx)
+    path = f"{shared_folder(fx.spark).rstrip('/')}/gradewell-models/{uuid.uuid4().hex}"
+    T.save_model(T.fit(train, INPUTS, "naive_bayes"), path, INPUTS, threshold=0.5)
+    model, metadata = T.load_model(fx.spark, path)
+    scored = T.predictions(model, test.select("row_id", *metadata["features"]), ["row_id"], None)
+    return scored.select("row_id", "y_pred", F.lit(metadata["threshold"]).alias("threshold"), F.lit(len(metadata["features"])).alias("n_features"))
