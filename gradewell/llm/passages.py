@@ -37,7 +37,7 @@ from gradewell.session import store
 
 WINDOW_WORDS = 20
 PHRASE = 5
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 ANCHOR_BITS = 48
 CROWDED = 1000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
