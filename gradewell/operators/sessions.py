@@ -61,9 +61,20 @@ def distinct_content(events: DataFrame, digest: str, order: str) -> DataFrame:
 
 
 def gap_sessions(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
-    """Batch session windows: (user, start, end, n); end is the last event plus the gap."""
-    windowed = events.groupBy(user, F.session_window(F.col(time), f"{gap_seconds} seconds").alias("w"))
-    return windowed.agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """Batch session windows: (user, start, end, n); end is the last event plus the gap.
+
+    Events in one interval of the length of the gap are always of one session, so they are first combined to
+    (user, interval, first, last, n) on the map side. What is put in order per user are these intervals: as many as
+    the time the table spans has, however many events the user has. Events without a time belong to no session; NULL is a user.
+    """
+    gap = F.make_dt_interval(secs=F.lit(gap_seconds))
+    intervals = events.groupBy(user, F.window(time, f"{gap_seconds} seconds").alias("_w")).agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(user).orderBy("_first")
+    same = F.col("_first") < F.lag("_last").over(order) + gap
+    numbered = intervals.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_k", F.sum("_new").over(order))
+    return numbered.groupBy(user, "_k").agg(
+        F.min("_first").alias("start"), (F.max("_last") + gap).alias("end"), F.sum("n").alias("n")).select(user, "start", "end", "n")
 
 
 def feedback_metrics(feedback: DataFrame, time: str, window: str, slide: str | None = None) -> DataFrame:

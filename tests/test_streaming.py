@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from gradewell.models import training as T
@@ -19,6 +22,26 @@ def source(spark, fx, tmp_path, table):
     return E.read_events(spark, path, table.schema)
 
 
+def test_batch_sessions_of_a_user_with_most_events(spark):
+    rng = random.Random(3)
+    start = datetime(1969, 12, 30)
+    rows = [(rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 2, None]), start + timedelta(seconds=rng.choice([0, 600, 1800]) + 900 * rng.randrange(600))) for _ in range(1500)]
+    rows += [(3, None), (4, start), (4, start), (4, start + timedelta(seconds=1800)), (4, start + timedelta(seconds=3599, microseconds=999999))]
+    expected = []
+    for user in {u for u, _ in rows}:
+        times = sorted(t for u, t in rows if u == user and t)
+        for i, t in enumerate(times):
+            if i and t < times[i - 1] + timedelta(seconds=1800):
+                expected[-1][2:] = [t + timedelta(seconds=1800), expected[-1][3] + 1]
+            else:
+                expected.append([user, t, t + timedelta(seconds=1800), 1])
+    for kind in ("timestamp", "timestamp_ntz"):
+        events = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz").withColumn("ts", F.col("ts").cast(kind))
+        got = S.gap_sessions(events, "user_id", "ts", 1800).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+        assert sorted(map(list, got.collect()), key=str) == sorted(expected, key=str)
+    assert S.gap_sessions(events.limit(0), "user_id", "ts", 1800).count() == 0
+
+
 def test_closed_sessions_equal_the_batch(spark, fx, tmp_path):
     events = fx.table("events").select("user_id", "ts", "event_id")
     got = run(E.gap_sessions(source(spark, fx, tmp_path, events), "user_id", "ts"), tmp_path)
