@@ -29,7 +29,6 @@ from gradewell.models.boosting import BoosterModel
 from gradewell.models.forests import ForestModel
 from gradewell.models.prep import RandomFourierFeatures, fit_preparation
 from gradewell.operators import metrics as M
-from gradewell.operators.leaderboard import leaderboard
 from gradewell.operators.ordering import hash_order
 from gradewell.operators.splits import with_class_weights
 from gradewell.session import materialize
@@ -406,20 +405,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequ
         names[F.col("variant")].alias("feature"), "score", "deviation")
 
 
-# -- versions, scoring, persistence ------------------------------------------------------------
-
-def version_grid(train: DataFrame, validation: DataFrame, versions: Mapping[str, Sequence[str]], names: Sequence[str],
-                 key: str, label: str = "label", labels: Sequence[int] = K.GRADES, **params) -> DataFrame:
-    """Every model on every feature version, ranked on the validation rows."""
-    parts = None
-    for version, features in versions.items():
-        for name in names:
-            model = fit(train, features, name, label, **params)
-            part = predictions(model, validation, [key], label, labels).select("y_true", "y_pred", F.lit(f"{name}|{version}").alias("model"))
-            parts = part if parts is None else parts.unionByName(part)
-    ranked = leaderboard(M.evaluate(parts, ["model"], labels))
-    return ranked.withColumn("feature_version", F.substring_index("model", "|", -1)).withColumn("model", F.substring_index("model", "|", 1))
-
+# -- scoring, persistence ----------------------------------------------------------------------
 
 def score_batch(model: PipelineModel, rows: DataFrame, key: str, order: Column, features: Sequence[str] = ()) -> DataFrame:
     """Unlabelled rows with class, name, confidence and probabilities; ``position`` keeps the input order."""

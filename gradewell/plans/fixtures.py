@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.functions.probability import prediction_features
 from gradewell.session import materialize
 
 FEATURES = ["n_lines", "qty_sum", "qty_max", "qty_dup", "price_max", "tax_max", "total",
@@ -45,6 +46,10 @@ def measure_sql(position: int, name: str) -> str:
 
 MEASURE_SELECT = ", ".join(measure_sql(i, n) for i, n in enumerate(MEASURES))
 
+# Networks of the hybrid table, and the embedding columns of each.
+NETWORKS = ("m1", "m2")
+EMBEDDED = 12
+
 # Symbols whose frequencies are compared pairwise to form a 63-bit difference fingerprint.
 FINGERPRINT_SYMBOLS = "abcdefghijklmnopqrstuvwxyz .,;:!?-'\"()0123456789ABCDEFGHIJKLMNOPQ"[:64]
 
@@ -147,6 +152,20 @@ class Fixtures:
             F.array(*[w / total for w in weights]).alias("prob"), "score",
         )
 
+    @cached_property
+    def hybrid(self) -> DataFrame:
+        """Feature rows with the predictions of two networks and, from each, half of an embedding in short columns."""
+        said = self.predictions.select("row_id", "model", "prob", *[c.alias(n) for n, c in prediction_features(F.col("prob")).items()])
+        wide = said.groupBy("row_id").agg(*[
+            F.max(F.when(F.col("model") == m, c)).alias(f"cnn_{m}__{n}") for m in NETWORKS for n, c in
+            {**{f"prob_class_{k}": F.col("prob")[k] for k in range(5)}, "referable_probability": F.col("positive_probability"),
+             **{n: F.col(n) for n in ("max_probability", "entropy", "margin")}}.items()])
+        vectors = self.table("embeddings").select(F.col("vec_id").alias("_vec"), *[
+            F.col("embedding")[i * EMBEDDED + j].cast("double").alias(f"cnn_embed_{m}_{j:03d}") for i, m in enumerate(NETWORKS) for j in range(EMBEDDED)])
+        count = vectors.agg(F.count(F.lit(1)).alias("_vectors"))
+        keyed = self.feats.crossJoin(F.broadcast(count)).withColumn("_vec", F.col("row_id") % F.col("_vectors"))
+        return keyed.join(vectors, "_vec").join(wide, "row_id").drop("_vec", "_vectors")
+
     @cached_property
     def every_file(self) -> DataFrame:
         suffix = F.when(F.col("doc_id") % 3 == 0, ".jpg").when(F.col("doc_id") % 3 == 1, ".png").otherwise("")
@@ -230,6 +249,16 @@ def _print_bits() -> str:
     )
 
 
+def _hybrid_sql() -> str:
+    said = [*[(f"prob_class_{k}", f"prob[{k + 1}]") for k in range(5)], ("referable_probability", "prob[3]+prob[4]+prob[5]"), ("max_probability", "list_max(prob)"),
+            ("entropy", "list_sum(list_transform(prob, lambda p: -p*ln(greatest(p,1e-9::double))))"), ("margin", "list_reverse_sort(prob)[1]-list_reverse_sort(prob)[2]")]
+    wide = ", ".join(f"max(case when model='{m}' then {sql} end) as cnn_{m}__{n}" for m in NETWORKS for n, sql in said)
+    vectors = ", ".join(f"embedding[{i * EMBEDDED + j + 1}]::double as cnn_embed_{m}_{j:03d}" for i, m in enumerate(NETWORKS) for j in range(EMBEDDED))
+    return f"""
+select f.*, w.* exclude (row_id), e.* exclude (vec_id) from feats f join (select row_id, {wide} from predictions group by row_id) w on w.row_id=f.row_id
+  join (select vec_id, {vectors} from embeddings) e on e.vec_id = f.row_id % (select count(*) from embeddings)"""
+
+
 VIEWS = {
     "feats": """
 select o.o_orderkey as row_id, cast(substr(o.o_orderpriority,1,1) as int)-1 as label, o.o_orderstatus as source,
@@ -262,6 +291,7 @@ from (select b.*, cast(case when mod(row_id*f+c,10)<6 then y_true else mod(row_i
     "predictions": """
 select row_id, model, source, y_true, y_pred,
   list_transform([w0,w1,w2,w3,w4], lambda w: w/(w0+w1+w2+w3+w4)) as prob, score from preds""",
+    "hybrid": _hybrid_sql(),
     "files": """
 select doc_id, source, concat(cast(doc_id as varchar), case mod(doc_id,3) when 0 then '.jpg' when 1 then '.png' else '' end) as file_name,
   sha256(text) as sha, n_chars from documents where mod(doc_id,11)<>0""",
@@ -288,7 +318,7 @@ from events where event_type='purchase'""",
 select l_orderkey as image_id, l_returnflag as kind, l_quantity as x, cast(l_linenumber as double)*7 as y, l_extendedprice as area
 from lineitem""",
 }
-_NEEDS = {"predictions": ["preds"], "measures": ["feats"], "gaps": ["feats"], "copied": ["feats"], "preds_gaps": ["preds"]}
+_NEEDS = {"hybrid": ["feats", "preds", "predictions"], "predictions": ["preds"], "measures": ["feats"], "gaps": ["feats"], "copied": ["feats"], "preds_gaps": ["preds"]}
 
 
 def oracle(views: str, body: str) -> str:

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
-from gradewell.models import boosting as B, forests as R, prep, training as T
+from gradewell.models import boosting as B, forests as R, prep, training as T, versions as V
 from gradewell.operators import metrics as M
 from gradewell.operators import profile as P
 from gradewell.operators import splits as S
 from gradewell.plans.evaluation import CONFUSION, METRICS, SUMMARY_OUT
-from gradewell.plans.fixtures import FEATURES
+from gradewell.plans.fixtures import EMBEDDED, FEATURES, NETWORKS
 from gradewell.plans.profiling import long_sql
 from gradewell.plans.registry import CATALOG
 from gradewell.plans.splits import split_sql
@@ -225,12 +225,45 @@ def embedding_pca(fx):
                 .withColumn("explained", share[F.col("component")]).withColumn("value", F.abs("value")))
 
 
+HYBRID = [f"cnn_{m}__{n}" for m in NETWORKS for n in [*[f"prob_class_{k}" for k in range(5)], "referable_probability", "max_probability", "entropy", "margin"]]
+HYBRID += [f"cnn_embed_{m}_{j:03d}" for m in NETWORKS for j in range(EMBEDDED)]
+VERSIONS = V.build_versions([*INPUTS, *HYBRID], INPUTS, ["n_lines", "qty_sum", "total"], "m1", first=5, narrow=6)
+
+
+def version_grid(fx, models):
+    table = S.stratified_split(materialize(fx.hybrid.select("row_id", "label", *INPUTS, *HYBRID)), ["label"], "row_id", 0.2, 0.2)
+    parts = [table.filter(F.col("split") == name) for name in ("train", "val", "test")]
+    out = V.version_grid(*parts, VERSIONS, models, "row_id")
+    return tidy(out.select("model", "feature_version", "feature_count", "rank", "val_macro_f1", "val_balanced_accuracy", "macro_f1", "balanced_accuracy"))
+
+
+MEMBERS = ", ".join(f"('{v}', '{c}')" for v, columns in VERSIONS.items() for c in columns)
+HYBRID_CELLS = " union all ".join(f"select row_id, label, split, '{c}' as feature, {c}::double as v from sp" for c in [*INPUTS, *HYBRID])
+
+
+@query("m19_bayes_versions", "hybrid", f"""with {split_sql('0.2', '0.2', 'hybrid')}, members as (select * from (values {MEMBERS}) as t(version, feature)),
+raw as ({HYBRID_CELLS}), med as (select feature, coalesce(quantile_cont(v,0.5),0) as med from raw where split='train' group by 1),
+cells as (select row_id, label, split, feature, coalesce(v, med) as v from raw join med using (feature)),
+fitted as (select label as k, feature, avg(v) as mu, var_pop(v) as s2 from cells where split='train' group by all),
+logs as (select row_id, split, label, c.feature, k, -ln(s2)/2 - pow(v-mu,2)/(2*s2) as s from cells c join fitted t on t.feature=c.feature where split<>'train'),
+scored as (select version, row_id, split, label, k, sum(s) as s from logs join members using (feature) group by all),
+pred as (select version, split, label as y_true, arg_max(k, s)::int as y_pred from scored group by version, row_id, split, label),
+counts as (select version, split, y_true, y_pred, count(*) as n from pred group by all),
+pc as (select version, split, k, sum(case when y_true=k and y_pred=k then n else 0 end) as tp, sum(case when y_true=k then n else 0 end) as sup,
+  sum(case when y_pred=k then n else 0 end) as prd from counts cross join (select unnest(range(5)) as k) group by all),
+scores as (select version, split, avg(case when sup+prd=0 then 0 else 2.0*tp/(sup+prd) end) as f1, avg(case when sup>0 then tp::double/sup end) as bal from pc group by all),
+sizes as (select version, count(*)::int as feature_count from members group by 1),
+joined as (select version, feature_count, v.f1 as vf, v.bal as vb, t.f1 as tf, t.bal as tb from sizes join scores v using (version) join scores t using (version) where v.split='val' and t.split='test')
+select 'naive_bayes' as model, version as feature_version, feature_count, row_number() over (order by round(vf,9) desc, round(vb,9) desc, feature_count, version) as rank,
+  round(vf,6) as val_macro_f1, round(vb,6) as val_balanced_accuracy, round(tf,6) as macro_f1, round(tb,6) as balanced_accuracy from joined""")
+def bayes_versions(fx):
+    return version_grid(fx, {"naive_bayes": {}})
+
+
 @query("m19_feature_versions")
 def feature_versions(fx):
-    train, test = split(fx)
-    versions = {"quantities": ["n_lines", "qty_sum", "qty_max"], "all": INPUTS}
-    table = T.version_grid(train, test, versions, ["naive_bayes"], "row_id")
-    return tidy(table.select("model", "feature_version", "rank", "macro_f1", "balanced_accuracy"))
+    """Fourteen versions, two models, chosen on the validation rows."""
+    return version_grid(fx, {"naive_bayes": {}, "logistic_regression": LOGISTIC})
 
 
 BAYES_TEST = f"""with {split_sql('0.2', '0.2')}, parts as (select *, case when split='test' then 0 else 1 end as fold from sp), {bayes_sql('parts', 'select 0 as f')}"""
