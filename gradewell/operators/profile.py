@@ -11,15 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell import constants as K
 from gradewell.functions.numeric import finite
 from gradewell.operators.ordering import cumulative_by_value
-from gradewell.session import settle
+from gradewell.session import settle, store
 
 QUANTILE_ACCURACY = 10_000
 
@@ -207,16 +205,29 @@ def extreme_features(df: DataFrame, features: Sequence[str], limit: float = 1e8)
 
 # -- relations between columns -----------------------------------------------------------------
 
-def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "spearman") -> DataFrame:
-    """|correlation| of every pair of features (left before right); columns must be filled.
+def mean_ranks(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Every column replaced by the rank of its value, ties by their mean rank; columns must be filled.
 
-    The matrix has one cell per pair of features and does not grow with the rows.
+    A dictionary (column, value, rank) comes from counts per distinct value, combined on the map side and ranked over
+    ranges of values. It is stored, so that Spark broadcasts a column's part when it is small; only columns with very
+    many distinct values shuffle the rows.
     """
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df.select(*features))
-    matrix = Correlation.corr(assembled, "_v", method).first()[0].toArray()
-    rows = [(features[i], features[j], float(abs(matrix[i, j])))
-            for i in range(len(features)) for j in range(i + 1, len(features)) if matrix[i, j] == matrix[i, j]]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("nr"), F.col(f).cast("double").alias("value"), F.lit(1).alias("n")) for i, f in enumerate(features)]))
+    below = cumulative_by_value(df.select(cells), ["nr"], "value", ["n"])
+    ranks = settle(below.select("nr", "value", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank")))
+    out = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    for i, f in enumerate(features):
+        known = ranks.filter(F.col("nr") == i).select(F.col("value").alias(f), F.col("rank").alias("_rank"))
+        out = out.join(known, f).withColumn(f, F.col("_rank")).drop("_rank")
+    return out
+
+
+def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "spearman") -> DataFrame:
+    """|correlation| of every pair of features (left before right) that both vary; columns must be filled."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError(f"unknown correlation {method}")
+    rows = store(mean_ranks(df, features)) if method == "spearman" else df
+    return pairwise_pearson(rows, features).filter("correlation is not null")
 
 
 def pairwise_pearson(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rows in = rows out where strata, labels or models are NULL; wide and copied columns; searches."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gradewell.models import training as T
@@ -80,3 +81,16 @@ def test_random_candidates_and_stacking(spark):
     model = T.fit_stack(folds, ["a", "b"], ["logistic_regression", "naive_bayes"], "row_id", labels=[0, 1])
     scored = model.predictions(test, "row_id")
     assert scored.count() == 100 and scored.filter("y_true = y_pred").count() >= 75
+
+
+def test_spearman_with_ties_and_constants(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"a": rng.integers(0, 4, 600), "b": rng.normal(size=600), "flat": 1.0, "zero": rng.choice([0.0, -0.0, 2.0], 600)}).astype(float)
+    frame["c"] = frame.a ** 3 - frame.b / 4
+    names = list(frame.columns)
+    table = spark.createDataFrame(frame)
+    found = {(r["feature_a"], r["feature_b"]): r["correlation"] for r in P.correlation_pairs(table, names).collect()}
+    ranks = frame.rank()
+    expected = {(a, b): abs(np.corrcoef(ranks[a], ranks[b])[0, 1]) for i, a in enumerate(names) for b in names[i + 1:] if "flat" not in (a, b)}
+    assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-9 for k, v in expected.items())
+    assert P.correlation_pairs(table.limit(0), names).count() == 0
