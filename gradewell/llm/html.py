@@ -4,7 +4,8 @@ A page is read once, tag by tag, into a flat list of blocks: runs of text betwee
 its number of words and its link density, by those of its neighbours, by whether it stands inside an article, and by
 how far it stands inside page furniture (navigation, footer, advert, comments and the like, told by element, class, id and
 role): 1 inside, 0.5 where the name may as well be the subject of a section (``discussion``), 0 outside. An article or
-main element below furniture is outside again, unless it is hidden. A small decision tree, trained on the labelled blocks of ``labelled_blocks.py``, keeps or drops every block.
+main element below furniture is outside again, unless it is hidden. A form without such a name that holds more than half of the
+page's words, no article around it, is the wrapper of the page and no furniture. A small decision tree, trained on the labelled blocks of ``labelled_blocks.py``, keeps or drops every block.
 
 The reference project keeps no web pages, so this operator is general: any table with a key and an html column.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,8 +33,9 @@ FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form header menu
 ARTICLE_TAGS = frozenset(["article", "main"])
 #: Elements whose content is never page text.
 SILENT = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video"
-#: Of these, the ones that have no content when their tag ends in ``/>``.
-EMPTY = "object|svg|math|canvas|audio|video"
+#: Of these, the ones that a tag ending in ``/>`` closes, and the ones that it closes only if the page has no end tag for them.
+EMPTY = "svg|math"
+FALLBACK = frozenset("object canvas audio video".split())
 FURNITURE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog
 disclaimer discussion disqus feedback foot footer form gdpr head header login masthead menu menubar meta modal nav navbar navigation newsletter notice pager pagination popup
 privacy promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar
@@ -49,7 +52,10 @@ STATE_WORDS = frozenset("no with without has".split())
 #: Names of readers' comments, in which an article element is a comment.
 COMMENT_NAMES = ("comment", "disqus", "replies", "reply", "respond")
 ARTICLE_NAMES = frozenset("article articlebody content entry main post story".split())
-TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?:{EMPTY})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>|<({SILENT})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+#: Attributes; outside quotes they end at ``<`` too, and nothing is tried twice, so a page is read in one pass.
+INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?:{EMPTY})(?=[\s/>]){INSIDE}(?<=/)>|<({SILENT})(?=[\s/>])({INSIDE})>|<(/?)([a-zA-Z][^\s/><]*)({INSIDE})(?:>|(?=<))|<[!?/][^<>]*>""", re.S | re.I)
+SILENT_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT.split("|")}
 NAME = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[a-z]+", re.I)
@@ -113,11 +119,15 @@ def names_of(tag: str, attributes: str) -> tuple[bool, float, bool, bool]:
 def blocks_of(html: str | None) -> list[Block]:
     """The flat text blocks of a page, without empty ones, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[bool, float, bool, bool]]] = []
+    stack: list[tuple[str, tuple[bool, float, bool, bool, int]]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked = links = 0
-    #: In an article, level of furniture, whether articles in it are furniture, hidden; ``stack`` has what held before each element.
-    state = (False, 0.0, False, False)
+    #: Words below each form that may be the wrapper of the page, and the form each block stands in (-1: none).
+    forms: list[int] = []
+    form_of: list[int] = []
+    #: In an article, level of furniture, whether articles in it are furniture, hidden, form; ``stack`` has what held before each element.
+    state = (False, 0.0, False, False, -1)
 
     def close() -> None:
         nonlocal linked
@@ -126,6 +136,9 @@ def blocks_of(html: str | None) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 out.append(Block(text, words, min(linked, words), state[0], 1.0 if state[3] else state[1]))
+                form_of.append(state[4])
+                if state[4] >= 0:
+                    forms[state[4]] += words
             held.clear()
         linked = 0
 
@@ -138,12 +151,23 @@ def blocks_of(html: str | None) -> list[Block]:
 
     html = html or ""
     at = 0
-    for found in TAG.finditer(html):
+    unclosed: set[str] = set()  # silent elements without a further end tag
+    while found := TAG.search(html, at):
         if found.start() > at:
             put(html[at:found.start()])
         at = found.end()
-        silent, slash, tag, attributes = found.groups()
-        if silent or not tag:
+        silent, inside, slash, tag, attributes = found.groups()
+        if silent:
+            silent = silent.lower()
+            end = None if silent in unclosed else SILENT_END[silent].search(html, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(silent)
+                if not (silent in FALLBACK and inside.endswith("/")):
+                    at = len(html)
+            continue
+        if not tag:
             continue
         tag = tag.lower()
         if tag == "a":
@@ -157,30 +181,41 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag not in CONTAINERS:
             continue
         if slash:
-            if any(name == tag for name, _ in stack):
+            if opened[tag]:
                 while stack:
                     name, state = stack.pop()
+                    opened[name] -= 1
                     if name == tag:
                         break
             continue
         if tag == "p":
             if stack and stack[-1][0] == "p":
-                _, state = stack.pop()
+                name, state = stack.pop()
+                opened[name] -= 1
         elif tag in BLOCK_TAGS:
             while stack and stack[-1][0] in ("p", "span"):
-                _, state = stack.pop()
-        article, level, whole, hidden = state
+                name, state = stack.pop()
+                opened[name] -= 1
+        article, level, whole, hidden, form = state
         opens_article, opens, opens_whole, opens_hidden = names_of(tag, attributes)
         if tag == "header" and article and not any(w in attributes.lower() for w in ("nav", "menu")):
             opens = 0.0  # the heading of an article
+        if tag == "form" and form < 0 and not article and not names_of("div", attributes)[1]:
+            opens, form = 0.0, len(forms)
+            forms.append(0)
         if tag in ARTICLE_TAGS:
             if tag == "main" or not whole and opens < 1:
-                level, whole = 0.0, False
+                level, whole, form = 0.0, False, -1
             opens = 0.0
         stack.append((tag, state))
-        state = article or opens_article, max(level, opens), whole or opens_whole and opens > 0, hidden or opens_hidden
+        opened[tag] += 1
+        state = article or opens_article, max(level, opens), whole or opens_whole and opens > 0, hidden or opens_hidden, form
     put(html[at:])
     close()
+    everything = sum(b.words for b in out)
+    for block, form in zip(out, form_of):
+        if form >= 0 and 2 * forms[form] <= everything:
+            block.in_furniture = 1.0
     return out
 
 

@@ -1,5 +1,7 @@
 """Main text of pages: labelled pages, broken mark-up, tables with nulls."""
 
+import time
+
 import pytest
 
 from gradewell.llm import html as H
@@ -31,9 +33,30 @@ SILENT_CASES = [
     ("<article><p>Before it.</p><video src=a /><object data=b /><canvas /><audio src=c /><p>After it.</p></article>", "Before it.\nAfter it."),
     ("<article><p>Before it.</p><video-player src=a></video-player><object-list></object-list><template-part/><p>After it.</p></article>", "Before it.\nAfter it."),
     ("<article><p>Before it.</p><video src='a/b'>no <b>player</b></video><script src=x/>var a;</script><p>After it.</p></article>", "Before it.\nAfter it."),
+    ("<article><p>Before it.</p><video src=a /><p>No video here.</p></video><p>After it.</p></article>", "Before it.\nAfter it."),
+    ("<article><p <b>Unended tag.</b></p><p>After it.</p></article>", "Unended tag.\nAfter it."),
+]
+PROSE = "The river rose for three days before the water reached the lower fields and the road to the mill."
+FORM_CASES = [
+    (f"<body><form id=aspnetForm><h1>The flood</h1><p>{PROSE}</p><p>{PROSE}</p></form></body>", f"The flood\n{PROSE}\n{PROSE}"),
+    (f"<body><form id=f1><nav><a href=/>Home</a></nav><p>{PROSE}</p><p>{PROSE}</p></form></body>", f"{PROSE}\n{PROSE}"),
+    (f"<body><p>{PROSE}</p><p>{PROSE}</p><form action=/go><p>{PROSE}</p></form></body>", f"{PROSE}\n{PROSE}"),
+    (f"<body><form class=login-form><p>{PROSE}</p></form></body>", ""),
 ]
 
 
+@pytest.mark.parametrize(("page", "text"), FORM_CASES)
+def test_form_around_the_page(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<span ", "<span>", "</span x", "<!", "</", "<a href='", "<div><span>", "</div>", "<canvas/>", "<script ", "<svg ", "<form><p>x", "<!--", "<p title=\"", "<a \"x\" '"])
+def test_broken_pages_take_linear_time(piece):
+    start = time.time()
+    H.main_text("<article><p>Kept.</p></article>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 15
+
+
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_pages(page, text):
     assert H.main_text(page) == text
