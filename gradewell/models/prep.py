@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Transformer
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasSeed, Param, Params, TypeConverters
@@ -119,6 +119,79 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, Def
         return dataset.withColumn(self.getOutputCol(), array_to_vector(projected))
 
 
+def gaussian_kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    """exp(-gamma |x-y|^2) for all rows of ``x`` and ``y``."""
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(squares, 0.0))
+
+
+class _KernelParams(HasInputCol, HasOutputCol):
+    landmarks = Param(Params._dummy(), "landmarks", "number of rows that stand for all in the kernel", typeConverter=TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel width; 0 means 1 / number of inputs", typeConverter=TypeConverters.toFloat)
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self._setDefault(inputCol="features", outputCol="kernel_features", landmarks=256, gamma=0.0)
+
+
+class LandmarkKernelModel(Model, _KernelParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds features whose inner products are the kernel seen through the landmarks (Nyström).
+
+    With L the landmarks and K = U diag(e) U' their kernel matrix, a row x becomes k(x, L) U diag(e)^(-1/2).
+    """
+
+    rows = Param(Params._dummy(), "rows", "landmark rows, one after another", typeConverter=TypeConverters.toListFloat)
+    projection = Param(Params._dummy(), "projection", "matrix from kernel values to features, row by row", typeConverter=TypeConverters.toListFloat)
+    count = Param(Params._dummy(), "count", "number of landmarks found", typeConverter=TypeConverters.toInt)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        count, gamma = self.getOrDefault(self.count), self.getOrDefault(self.gamma)
+        shared = dataset.sparkSession.sparkContext.broadcast((  # landmarks x (inputs + landmarks) numbers at most
+            np.array(self.getOrDefault(self.rows)).reshape(count, -1), np.array(self.getOrDefault(self.projection)).reshape(count, -1)))
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def lift(values: pd.Series) -> pd.Series:
+            if len(values) == 0:
+                return pd.Series([], dtype=object)
+            landmarks, projection = shared.value
+            return pd.Series(list(gaussian_kernel(np.stack(values.to_numpy()), landmarks, gamma) @ projection))
+
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(F.col(self.getInputCol())))))
+
+
+class LandmarkKernel(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits :class:`LandmarkKernelModel`: a Gaussian kernel exp(-gamma |x-y|^2) as features of a linear model.
+
+    The landmarks are the distinct input vectors with the smallest hashes, so they depend neither on partitions nor on how often a
+    vector occurs. Only they come to the driver, where their kernel matrix is factored once. With as many landmarks as distinct
+    rows the kernel is exact.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "features", outputCol: str = "kernel_features", landmarks: int = 256, gamma: float = 0.0):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> LandmarkKernelModel:
+        wanted = self.getOrDefault(self.landmarks)
+        hashed = dataset.select(vector_to_array(F.col(self.getInputCol())).alias("x")).select("x", F.xxhash64("x").alias("h"))
+        distinct = hashed.agg(F.approx_count_distinct("h")).first()[0]
+        # Four times as many as asked for are left on average, so that few vectors are grouped.
+        below = int(min(1.0, 4 * wanted / max(distinct, 1)) * float(2 ** 63 - 1024)) * 2 - 2 ** 63
+        near = hashed.filter(F.col("h") <= below) if 4 * wanted < distinct else hashed
+        found = near.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(wanted).collect()
+        if not found:
+            raise ValueError("no rows to take landmarks from")
+        rows = np.array([r["x"] for r in found])
+        gamma = self.getOrDefault(self.gamma) or 1.0 / rows.shape[1]
+        values, vectors = np.linalg.eigh(gaussian_kernel(rows, rows, gamma))
+        kept = values > values[-1] * 1e-10
+        model = LandmarkKernelModel()
+        model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), landmarks=wanted, gamma=gamma, count=len(rows),
+                   rows=rows.ravel().tolist(), projection=(vectors[:, kept] / np.sqrt(values[kept])).ravel().tolist())
+        return model
+
+
 def fit_pca(train: DataFrame, input_col: str, k: int, output_col: str = "components"):
     """PCA fitted on training rows; returns the model and the explained share per component."""
     model = PCA(k=k, inputCol=input_col, outputCol=output_col).fit(train)

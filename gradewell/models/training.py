@@ -27,7 +27,7 @@ from gradewell.functions.probability import first_argmax
 from gradewell.models import forests
 from gradewell.models.boosting import BoosterModel
 from gradewell.models.forests import ForestModel
-from gradewell.models.prep import RandomFourierFeatures, fit_preparation
+from gradewell.models.prep import LandmarkKernel, LandmarkKernelModel, RandomFourierFeatures, fit_preparation
 from gradewell.operators import metrics as M
 from gradewell.operators.ordering import hash_order
 from gradewell.operators.splits import with_class_weights
@@ -41,7 +41,7 @@ def estimator(name: str, classes: int, seed: int = K.SEED, **params) -> list[Est
     """Stages of a named classifier on ``features``, ``label`` and ``weight``.
 
     Forests are in :mod:`gradewell.models.forests`. Boosting with more than two classes, and linear SVMs, are one-vs-rest. The
-    kernel SVM is approximated by random Fourier features under a linear model.
+    kernel SVM is a linear one over features of a kernel seen through landmarks.
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if name == "logistic_regression":
@@ -55,9 +55,10 @@ def estimator(name: str, classes: int, seed: int = K.SEED, **params) -> list[Est
         svm = LinearSVC(**common, **{"maxIter": 30, "regParam": 0.01, **params})
         return [svm] if classes == 2 else [OneVsRest(classifier=svm, labelCol="label", featuresCol="features", weightCol="weight")]
     if name == "kernel_svm":
-        lift = RandomFourierFeatures(inputCol="features", outputCol="kernel_features", components=params.pop("components", 128), seed=seed)
-        top = LogisticRegression(featuresCol="kernel_features", labelCol="label", weightCol="weight", **{"maxIter": 50, "regParam": 0.001, **params})
-        return [lift, top]
+        lift = LandmarkKernel(inputCol="features", outputCol="kernel_features", landmarks=params.pop("landmarks", 256), gamma=params.pop("gamma", 0.0))
+        over = {"featuresCol": "kernel_features", "labelCol": "label", "weightCol": "weight"}
+        svm = LinearSVC(**over, **{"maxIter": 100, "regParam": 0.001, "standardization": False, **params})
+        return [lift, svm if classes == 2 else OneVsRest(classifier=svm, **over)]
     raise ValueError(f"unknown model {name}")
 
 
@@ -383,7 +384,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequ
             voted = model.votes(both.select("y_true", "x", "x_shuffled", every).select("y_true", "variant", mixed.alias("bins")), ["variant", "y_true"])
             return voted.select("variant", "y_true", first_argmax("prob").cast("int").alias("y_pred"))
     else:
-        prepare = PipelineModel(stages=[s for s in model.stages[:-1] if not isinstance(s, RandomFourierFeatures)])
+        prepare = PipelineModel(stages=[s for s in model.stages[:-1] if not isinstance(s, (RandomFourierFeatures, LandmarkKernelModel))])
         classify = PipelineModel(stages=model.stages[len(prepare.stages):])
         base = materialize(prepare.transform(rows).select(key, F.col(label).cast("int").alias("y_true"), vector_to_array("features").alias("x")))
 

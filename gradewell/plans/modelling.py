@@ -154,7 +154,7 @@ def naive_bayes(fx):
 @query("m08_support_vectors")
 def support_vectors(fx):
     return evaluated(fx, "linear_svm", binary=True, maxIter=3000).unionByName(
-        evaluated(fx, "kernel_svm", binary=True, components=64, **LOGISTIC))
+        evaluated(fx, "kernel_svm", binary=True, landmarks=256))
 
 
 def folded(fx, folds=FOLDS):

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from gradewell.models import prep, training as T
@@ -65,7 +65,7 @@ def test_calibration_improves_skewed_scores(spark):
 
 
 def test_saved_models_load_with_metadata(spark, table, tmp_path):
-    model = T.fit(table, FEATURES, "kernel_svm", components=16)
+    model = T.fit(table, FEATURES, "kernel_svm", landmarks=16, maxIter=5)
     T.save_model(model, str(tmp_path / "m"), FEATURES, threshold=0.35)
     loaded, metadata = T.load_model(spark, str(tmp_path / "m"))
     assert metadata == {"features": FEATURES, "threshold": 0.35}
@@ -84,6 +84,31 @@ def test_fourier_features_approximate_the_kernel(spark, table):
             assert abs(np.dot(left["z"], right["z"]) - want) < 0.12
 
 
+def test_landmarks_against_an_exact_kernel_machine(spark):
+    """Least-squares machines have a closed form: over the whole kernel matrix, and over the features of the landmarks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 2))
+    y = np.where((x ** 2).sum(axis=1) + rng.normal(0, 0.3, 500) > 1.4, 1.0, -1.0)
+    rows = materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>").select("i", array_to_vector("x").alias("features")))
+    kernel = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    exact = kernel @ np.linalg.solve(kernel + 5 * np.eye(500), y)
+    errors = []
+    for landmarks in (40, 500):
+        lifted = prep.LandmarkKernel(landmarks=landmarks, gamma=0.5).fit(rows).transform(rows)
+        seen = np.array([r["z"] for r in lifted.orderBy("i").select(vector_to_array("kernel_features").alias("z")).collect()])
+        value = seen @ np.linalg.solve(seen.T @ seen + 5 * np.eye(seen.shape[1]), seen.T @ y)
+        errors.append((np.abs(seen @ seen.T - kernel).max(), np.abs(value - exact).max()))
+    assert errors[0][1] < 0.15 and max(errors[1]) < 1e-4  # a row far from 40 landmarks may still miss its own kernel value
+
+
+def test_landmarks_ignore_copies(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],)] * 500 + [([float(i), 0.0],) for i in range(9)], "x array<double>").select(array_to_vector("x").alias("features"))
+    model = prep.LandmarkKernel(landmarks=256).fit(rows.repartition(3))
+    assert model.getOrDefault("count") == 10 and model.getOrDefault("gamma") == 0.5
+    with pytest.raises(ValueError):
+        prep.LandmarkKernel().fit(rows.limit(0))
+
+
 def test_search_resumes(table):
     folds = S.stratified_folds(table, ["label"], "row_id", 2)
     grid = [{"maxIter": 2}, {"maxIter": 5}]
